@@ -1,8 +1,10 @@
 """Column -> Column building blocks.
 
 All of them are Spark built-ins and higher-order functions evaluated inside
-the JVM, row by row, with no shuffle. Span offsets are in characters (code
-points), the unit of ``length`` and ``substr`` in both Spark and DuckDB.
+the JVM, row by row, with no shuffle. Span offsets are UTF-8 byte offsets:
+``octet_length`` is O(1) and a binary ``substring`` starts in O(1), whereas a
+character ``substr`` rescans the string from its start on every call. Every
+detector matches ASCII only, so a span's byte length is its character length.
 """
 
 from __future__ import annotations
@@ -40,6 +42,17 @@ def _empty(dtype: T.DataType) -> Column:
     return F.array().cast(T.ArrayType(dtype))
 
 
+# Lambdas below only read their own variables. A row value a lambda needs
+# (the text, the id list, the lookup map) is handed in as a zipped array
+# (``array_repeat`` shares one reference), never referenced from inside the
+# lambda: Catalyst may inline an expensive producer at such a reference and
+# then evaluate it once per element.
+
+
+def _rep(value: Column, like: Column) -> Column:
+    return F.array_repeat(value, F.size(like))
+
+
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
@@ -51,10 +64,8 @@ def pieces(text: Column, pattern: str) -> Column:
 
 def interleave(parts: Column, fills: Column) -> Column:
     """parts[0] fills[0] parts[1] ... fills[n-1] parts[n]."""
-    return F.concat(
-        F.array_join(F.transform(fills, lambda f, i: F.concat(F.get(parts, i), f)), ""),
-        F.get(parts, F.size(fills)),
-    )
+    z = F.arrays_zip(parts.alias("p"), fills.alias("f"))
+    return F.array_join(F.transform(z, lambda x: F.concat(x["p"], F.coalesce(x["f"], F.lit("")))), "")
 
 
 def replace_matches(text: Column, pattern: str, fn) -> Column:
@@ -74,18 +85,18 @@ def spans_of(text: Column, entity: str, pattern: str, luhn: bool = False) -> Col
     before any merge, so placeholder numbering has no gaps.
     """
     ms = matches(text, pattern)
-    ps = pieces(text, pattern)
+    z = F.arrays_zip(ms.alias("m"), pieces(text, pattern).alias("p"))
     init = F.struct(F.lit(0).alias("pos"), _empty(SPAN).alias("out"))
 
-    def step(acc, pm):
-        start = acc["pos"] + F.length(pm["p"])
-        end = start + F.length(pm["m"])
+    def step(acc, x):
+        start = acc["pos"] + F.octet_length(x["p"])
+        end = start + F.octet_length(x["m"])
         span = F.struct(start.cast("int").alias("s"), end.cast("int").alias("e"),
-                        F.lit(entity).alias("entity"), pm["m"].alias("original"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
+                        F.lit(entity).alias("entity"), x["m"].alias("original"))
+        return F.struct(end.alias("pos"), F.when(x["m"].isNull(), acc["out"])
+                        .otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
 
-    pairs = F.transform(ms, lambda m, i: F.struct(m.alias("m"), F.get(ps, i).alias("p")))
-    out = F.aggregate(pairs, init, step, lambda acc: acc["out"])
+    out = F.aggregate(z, init, step, lambda acc: acc["out"])
     if luhn:
         out = F.filter(out, lambda x: luhn_ok(x["original"]))
     return out
@@ -141,8 +152,9 @@ def mask_preserved(text: Column) -> tuple[Column, Column]:
 def unmask_preserved(text: Column, ids: Column) -> Column:
     """Put the preserved originals back, in one pass."""
     nums = matches(text, fixed.MASK_NUMBER, 1)
+    z = F.arrays_zip(nums.alias("n"), _rep(ids, nums).alias("ids"))
     return interleave(pieces(text, fixed.MASK_NUMBER),
-                      F.transform(nums, lambda n: F.get(ids, n.cast("int"))))
+                      F.transform(z, lambda x: F.get(x["ids"], x["n"].cast("int"))))
 
 
 def preserved_pairs(ids: Column, scope: str) -> Column:
@@ -150,25 +162,37 @@ def preserved_pairs(ids: Column, scope: str) -> Column:
         placeholder(fixed.PRESERVE_PREFIX, scope, i).alias("ph"), m.alias("original")))
 
 
+def _bytes_at(b: Column, start: Column, length: Column) -> Column:
+    """UTF-8 text of ``length`` bytes from byte offset ``start`` (0-based)."""
+    return F.decode(F.substring(b, start + 1, length), "UTF-8")
+
+
 def cut_spans(text: Column, merged: Column, fill) -> tuple[Column, Column]:
     """Replace each merged span by fill(span, i); returns (text, originals)."""
-    def prev_end(i):
-        return F.when(i == 0, F.lit(0)).otherwise(F.get(merged, i - 1)["e"])
-
-    body = F.array_join(F.transform(merged, lambda x, i: F.concat(
-        text.substr(prev_end(i) + 1, x["s"] - prev_end(i)), fill(x, i))), "")
-    last_e = F.coalesce(F.get(merged, F.size(merged) - 1)["e"], F.lit(0))
-    out = F.concat(body, text.substr(last_e + 1, F.length(text) - last_e + 1))
-    originals = F.transform(merged, lambda x: text.substr(x["s"] + 1, x["e"] - x["s"]))
+    b = F.encode(text, "UTF-8")
+    ends = F.transform(merged, lambda x: x["e"])
+    prev = F.slice(F.concat(F.array(F.lit(0)), ends), 1, F.size(ends))
+    z = F.arrays_zip(merged.alias("x"), prev.alias("pe"), _rep(b, merged).alias("b"))
+    body = F.array_join(F.transform(z, lambda y, i: F.concat(
+        _bytes_at(y["b"], y["pe"], y["x"]["s"] - y["pe"]), fill(y["x"], i))), "")
+    last_e = F.coalesce(F.array_max(ends), F.lit(0))
+    out = F.concat(body, _bytes_at(b, last_e, F.octet_length(text) - last_e))
+    originals = F.transform(z, lambda y: _bytes_at(y["b"], y["x"]["s"], y["x"]["e"] - y["x"]["s"]))
     return out, originals
 
 
+def char_offset(text: Column, byte_offset: Column) -> Column:
+    """Character offset of a byte offset (for reports only; O(offset))."""
+    return F.length(_bytes_at(F.encode(text, "UTF-8"), F.lit(0), byte_offset))
+
+
 def title_case(s: Column) -> Column:
     """Python str.title() for ASCII: upper after a non-letter, lower after a letter."""
-    chars = F.split(s, "", -1)
-    chars = F.slice(chars, 1, F.length(s))  # split on "" never yields a trailing piece, guard anyway
-    return F.array_join(F.transform(chars, lambda c, i: F.when(
-        (i == 0) | ~F.get(chars, i - 1).rlike("[A-Za-z]"), F.upper(c)).otherwise(F.lower(c))), "")
+    chars = F.slice(F.split(s, "", -1), 1, F.length(s))
+    prev = F.slice(F.concat(F.array(F.lit("")), chars), 1, F.size(chars))
+    z = F.arrays_zip(chars.alias("c"), prev.alias("b"))
+    return F.array_join(F.transform(z, lambda x: F.when(~x["b"].rlike("[A-Za-z]"), F.upper(x["c"]))
+                                    .otherwise(F.lower(x["c"]))), "")
 
 
 def restore(text: Column, pairs: Column) -> Column:
@@ -178,5 +202,7 @@ def restore(text: Column, pairs: Column) -> Column:
     that itself looks like a placeholder cannot be replaced a second time.
     Unknown placeholders stay as they are."""
     lookup = F.map_from_entries(F.transform(pairs, lambda p: F.struct(p["ph"], p["original"])))
-    return replace_matches(text, fixed.PLACEHOLDER,
-                           lambda m, i: F.coalesce(F.try_element_at(lookup, m), m))
+    ms = matches(text, fixed.PLACEHOLDER)
+    z = F.arrays_zip(ms.alias("m"), _rep(lookup, ms).alias("lk"))
+    return interleave(pieces(text, fixed.PLACEHOLDER),
+                      F.transform(z, lambda x: F.coalesce(F.try_element_at(x["lk"], x["m"]), x["m"])))

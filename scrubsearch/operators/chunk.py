@@ -21,7 +21,9 @@ def fixed_windows(text, size: int, overlap: int):
     """P5 as a column: windows of ``size`` characters every ``size-overlap``."""
     step = size - overlap
     last = F.greatest(F.length(text) - F.lit(overlap + 1), F.lit(0))
-    return F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda i: text.substr(i + 1, F.lit(size)))
+    starts = F.sequence(F.lit(0), last, F.lit(step))
+    z = F.arrays_zip(starts.alias("i"), F.array_repeat(text, F.size(starts)).alias("t"))
+    return F.transform(z, lambda x: x["t"].substr(x["i"] + 1, F.lit(size)))
 
 
 def chunk_fixed(df: DataFrame, size: int, overlap: int, keep: list[str], text: str = "text") -> DataFrame:

@@ -23,9 +23,13 @@ def token_bucket(tok):
 
 
 def embed_sparse(df: DataFrame, key: str | list[str], text: str = "text") -> DataFrame:
-    """Explode tokens, count per (key, bucket) with a map-side partial
-    aggregate, and attach the text's squared norm with a window on key."""
+    """Explode tokens, count per (key, bucket), attach the squared norm.
+
+    Keys are unique per input row, so the rows are hash-partitioned by key
+    once (text is smaller than its postings); the count and the norm window
+    then run in that partitioning with no further exchange."""
     keys = [key] if isinstance(key, str) else list(key)
+    df = df.select(*keys, text).repartition(*keys)
     toks = (df.select(*keys, F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))),
                                                fixed.TOKEN_SPLIT, -1)).alias("tok"))
             .where(F.length("tok") > 0))

@@ -9,6 +9,8 @@ re-appending the same input produces the same keys (idempotent, deviation V6).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,31 +59,50 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def write_index(chunks: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """K1 (+K3): chunks and postings as store-partitioned Parquet.
+@dataclass
+class Index:
+    """A persisted index: chunk texts, their postings, and per-store stop buckets."""
+    chunks: DataFrame
+    postings: DataFrame
+    stops: DataFrame
+
+    def store(self, name: str) -> "Index":
+        """Partition pruning: only the store's directories are read."""
+        keep = lambda df: df.where(F.col("store") == name)
+        return Index(keep(self.chunks), keep(self.postings), keep(self.stops))
+
 
+def write_index(chunks: DataFrame, path: str, mode: str = "errorifexists", max_df: float = fixed.MAX_DF) -> Index:
+    """K1 (+K3): chunks, postings and stop buckets as store-partitioned Parquet.
+
+    Each table is embedded/derived from the table written before it, so the
+    lineage is cut at every step and a lost executor only re-runs one stage.
     ``mode='append'`` adds batches; ``'overwrite'`` with dynamic partition
     overwrite rebuilds only the stores present in ``chunks``."""
+    from scrubsearch.operators.search import stop_buckets
+
     spark = chunks.sparkSession
     if mode == "overwrite":
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     chunks.write.mode(mode).partitionBy("store").parquet(f"{path}/chunks")
-    written = spark.read.parquet(f"{path}/chunks")  # embed from the written table, not the lineage
+    written = spark.read.parquet(f"{path}/chunks")
     postings(written).write.mode(mode).partitionBy("store").parquet(f"{path}/postings")
+    posts = spark.read.parquet(f"{path}/postings")
+    stop_buckets(posts, max_df).write.mode("overwrite" if mode == "append" else mode).partitionBy("store").parquet(
+        f"{path}/stops")
+    return read_index(spark, path)
 
 
-def read_index(spark: SparkSession, path: str, store: str | None = None) -> tuple[DataFrame, DataFrame]:
-    c = spark.read.parquet(f"{path}/chunks")
-    p = spark.read.parquet(f"{path}/postings")
-    if store is not None:  # partition pruning on the store directory
-        c, p = c.where(F.col("store") == store), p.where(F.col("store") == store)
-    return c, p
+def read_index(spark: SparkSession, path: str, store: str | None = None) -> Index:
+    idx = Index(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/postings"),
+                spark.read.parquet(f"{path}/stops"))
+    return idx.store(store) if store is not None else idx
 
 
-def open_or_build(spark: SparkSession, path: str, build) -> tuple[DataFrame, DataFrame]:
+def open_or_build(spark: SparkSession, path: str, build, max_df: float = fixed.MAX_DF) -> Index:
     """K2: load the index if it exists and never look at the sources again;
     otherwise build it from ``build()`` (a chunks DataFrame) and persist it.
     Rebuild = remove the folder, or call ``write_index(..., 'overwrite')``."""
     if not path_exists(spark, f"{path}/chunks"):
-        write_index(build(), path, "errorifexists")
+        return write_index(build(), path, "errorifexists", max_df)
     return read_index(spark, path)

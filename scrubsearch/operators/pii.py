@@ -63,12 +63,13 @@ def anonymize(df: DataFrame, text: str, out: str, scope: str = "", detectors=Non
     cut, originals = C.cut_spans(F.col(masked_c), F.col(merged_c), fill)
     df = df.withColumn(cut_c, cut).withColumn(orig_c, originals)
     ids = F.col(ids_c)
+    z = F.arrays_zip(F.col(merged_c).alias("x"), F.col(orig_c).alias("o"), C._rep(ids, F.col(merged_c)).alias("ids"))
     df = (df.withColumn(out, F.when(_blank(F.col(text)), F.col(text))
                         .otherwise(C.unmask_preserved(F.col(cut_c), ids)))
-          .withColumn(f"{out}_mapping", F.transform(F.col(merged_c), lambda x, i: F.struct(
+          .withColumn(f"{out}_mapping", F.transform(z, lambda y, i: F.struct(
               C.placeholder(fixed.PII_PREFIX, scope, i).alias("ph"),
-              C.unmask_preserved(F.get(F.col(orig_c), i), ids).alias("original"),
-              x["entity"].alias("entity"))))
+              C.unmask_preserved(y["o"], y["ids"]).alias("original"),
+              y["x"]["entity"].alias("entity"))))
           .withColumn(f"{out}_preserved", C.preserved_pairs(ids, scope)))
     return df.drop(ids_c, masked_c, merged_c, cut_c, orig_c)
 
@@ -127,16 +128,17 @@ def detect_counts(df: DataFrame, key: str, text: str, detectors=None, lang: str
 
 
 def resolved_spans(df: DataFrame, key: str, text: str, detectors=None) -> DataFrame:
-    """A3 as a table: (key, n, s, e, entity) merged spans, in the coordinates
-    of the id-masked text (equal to the original's when it holds no id)."""
+    """A3 as a table: (key, n, s, e, entity) merged spans as character
+    offsets of the id-masked text (equal to the original's when it holds no id)."""
     t = F.coalesce(F.col(text), F.lit(""))
     masked, _ = C.mask_preserved(t)
     dets = list(detectors or fixed.DETECTORS) + [fixed.PLACEHOLDER_DETECTOR]
     merged = (df.select(key, masked.alias("_masked"))
-              .select(key, C.merge_spans(C.detect_spans(F.col("_masked"), dets)).alias("m")))
-    return (merged.select(key, F.posexplode("m").alias("n", "x"))
-            .select(key, F.col("n").cast("long").alias("n"), F.col("x.s").cast("long").alias("s"),
-                    F.col("x.e").cast("long").alias("e"), F.col("x.entity").alias("entity")))
+              .select(key, "_masked", C.merge_spans(C.detect_spans(F.col("_masked"), dets)).alias("m")))
+    ex = merged.select(key, "_masked", F.posexplode("m").alias("n", "x"))
+    s = C.char_offset(F.col("_masked"), F.col("x.s"))
+    return ex.select(key, F.col("n").cast("long").alias("n"), s.cast("long").alias("s"),
+                     (s + F.col("x.e") - F.col("x.s")).cast("long").alias("e"), F.col("x.entity").alias("entity"))
 
 
 def restore_pii(df: DataFrame, text: str, pairs: list[str], out: str, enabled: bool = True) -> DataFrame:
@@ -163,8 +165,10 @@ def detect_names(df: DataFrame, key: str, text: str, names: DataFrame) -> DataFr
     """
     toks = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+", -1),
                        lambda w: F.regexp_replace(w, r"^[\"'(\[]+|[\"'.,;:!?)\]]+$", ""))
-    grams = F.concat(toks, F.transform(F.slice(toks, 2, F.greatest(F.size(toks) - 1, F.lit(0))),
-                                       lambda w, i: F.concat_ws(" ", F.get(toks, i), w)))
+    nxt = F.slice(toks, 2, F.greatest(F.size(toks) - 1, F.lit(0)))
+    pairs = F.arrays_zip(toks.alias("a"), nxt.alias("b"))
+    grams = F.concat(toks, F.transform(F.filter(pairs, lambda x: x["b"].isNotNull()),
+                                       lambda x: F.concat_ws(" ", x["a"], x["b"])))
     cand = df.select(key, F.explode(grams).alias("name")).where(F.length("name") > 0)
     dictionary = names.select("name").distinct()
     return (cand.join(dictionary, "name").groupBy(key, "name")

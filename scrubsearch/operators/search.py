@@ -33,7 +33,7 @@ def _rank_window(df: DataFrame, part: list[str], order, k: int, rank: str = "ran
 # Sparse top-k
 # ---------------------------------------------------------------------------
 
-def stop_buckets(chunk_vec: DataFrame, max_df: float = fixed.MAX_DF, store: str = "store") -> DataFrame:
+def stop_buckets(postings: DataFrame, max_df: float = fixed.MAX_DF, store: str = "store") -> DataFrame:
     """Buckets found in more than ``max_df`` of a store's chunks.
 
     Size bound: a store's bucket rows sum to its postings, so at most
@@ -41,39 +41,40 @@ def stop_buckets(chunk_vec: DataFrame, max_df: float = fixed.MAX_DF, store: str
     buckets qualify. Chunks are at most a few hundred tokens long, so the
     table stays below ~10^5 rows whatever the corpus size: safe to broadcast.
     """
-    per_store = chunk_vec.groupBy(store).agg(F.countDistinct("chunk_key").alias("n_chunks"))
-    dfreq = chunk_vec.groupBy(store, "bucket").agg(F.count(F.lit(1)).alias("df"))
+    per_store = postings.groupBy(store).agg(F.countDistinct("chunk_key").alias("n_chunks"))
+    dfreq = postings.groupBy(store, "bucket").agg(F.count(F.lit(1)).alias("df"))
     return (dfreq.join(F.broadcast(per_store), store)
             .where(F.col("df") > F.lit(max_df) * F.col("n_chunks"))
             .select(store, "bucket"))
 
 
-def topk_sparse(query_vec: DataFrame, chunk_vec: DataFrame, k: int = fixed.TOP_K,
-                max_df: float = fixed.MAX_DF, store: str = "store") -> DataFrame:
+def topk_sparse(query_vec: DataFrame, chunk_vec: DataFrame, stops: DataFrame, k: int = fixed.TOP_K,
+                store: str = "store") -> DataFrame:
     """query_vec (store, query_id, bucket, tf, norm2) x chunk_vec (store,
     chunk_key, bucket, tf, norm2) -> (store, query_id, rank, chunk_key, score).
 
-    Queries with no shared token get no row (fewer than k is possible)."""
-    stops = F.broadcast(stop_buckets(chunk_vec, max_df, store))
-    q = query_vec.join(stops, [store, "bucket"], "left_anti").select(
-        store, "query_id", "bucket", F.col("tf").alias("tq"), F.col("norm2").alias("nq"))
-    c = chunk_vec.join(stops, [store, "bucket"], "left_anti").select(
+    Stop buckets are dropped from the chunk side (broadcast anti-join), the
+    posting lists are equi-joined on (store, bucket), and the pairs are then
+    partitioned by query once: both the per-pair sum and the top-k window run
+    in that partitioning. Queries with no shared token get no row."""
+    c = chunk_vec.join(F.broadcast(stops), [store, "bucket"], "left_anti").select(
         store, "chunk_key", "bucket", F.col("tf").alias("tc"), F.col("norm2").alias("nc"))
+    q = query_vec.select(store, "query_id", "bucket", F.col("tf").alias("tq"), F.col("norm2").alias("nq"))
     pairs = (q.join(c, [store, "bucket"])
+             .select(store, "query_id", "chunk_key", (F.col("tq") * F.col("tc")).alias("p"), "nq", "nc")
+             .repartition(store, "query_id")
              .groupBy(store, "query_id", "chunk_key")
-             .agg(F.sum(F.col("tq") * F.col("tc")).alias("dot"), F.max("nq").alias("nq"), F.max("nc").alias("nc")))
+             .agg(F.sum("p").alias("dot"), F.max("nq").alias("nq"), F.max("nc").alias("nc")))
     scored = pairs.select(store, "query_id", "chunk_key",
                           (F.col("dot") / F.sqrt((F.col("nq") * F.col("nc")).cast("double"))).alias("score"))
     return _rank_window(scored, [store, "query_id"], [F.desc("score"), F.asc("chunk_key")], k)
 
 
-def search_sparse(queries: DataFrame, chunks: DataFrame, k: int = fixed.TOP_K,
-                  max_df: float = fixed.MAX_DF, key_col: str = "key") -> DataFrame:
-    """Embed (store, query_id, <key_col>) queries and (store, chunk_key, text)
-    chunks with the default embedder, then R2b."""
+def search_sparse(queries: DataFrame, index, k: int = fixed.TOP_K, key_col: str = "key") -> DataFrame:
+    """Embed (store, query_id, <key_col>) queries with the default embedder
+    and run R2b against a persisted index (see operators.index.Index)."""
     qv = embed_sparse(queries.select("store", "query_id", F.col(key_col).alias("text")), ["store", "query_id"])
-    cv = embed_sparse(chunks.select("store", "chunk_key", "text"), ["store", "chunk_key"])
-    return topk_sparse(qv, cv, k, max_df)
+    return topk_sparse(qv, index.postings, index.stops, k)
 
 
 # ---------------------------------------------------------------------------

@@ -222,6 +222,16 @@ def kb_chunks(spark: SparkSession, d: str) -> DataFrame:
     return IX.kb_chunks(TB.documents(spark, d))
 
 
+def build(spark: SparkSession, d: str, stores: tuple[str, ...] = ("kb", "sla")) -> IX.Index:
+    """Build the requested stores into a fresh folder of the shared
+    checkpoint root and return the persisted index."""
+    parts = [sla_chunks(spark, d) if s == "sla" else kb_chunks(spark, d) for s in stores]
+    chunks = parts[0]
+    for p in parts[1:]:
+        chunks = chunks.unionByName(p)
+    return IX.write_index(chunks, scratch_dir(spark, "index"))
+
+
 SLA_SEARCH_SQL = O.SLA_BASE + [O.QUESTIONS,
                                "qs AS (SELECT 'sla' AS store, query_id, text FROM questions)",
                                O.vectors("qv", "qs", ["store", "query_id"]),
@@ -233,7 +243,7 @@ SLA_SEARCH_SQL = O.SLA_BASE + [O.QUESTIONS,
           + " SELECT query_id, rank, chunk_key, round(score, 6) AS score FROM hits")
 def topk_sparse_q(spark: SparkSession, d: str) -> DataFrame:
     qs = TB.questions(spark, d).select(F.lit("sla").alias("store"), "query_id", F.col("text").alias("key"))
-    hits = S.search_sparse(qs, sla_chunks(spark, d))
+    hits = S.search_sparse(qs, build(spark, d, ("sla",)))
     return hits.select("query_id", "rank", "chunk_key", F.round("score", 6).alias("score"))
 
 
@@ -248,10 +258,10 @@ KB_SEARCH_SQL = O.KB_BASE + [O.MESSAGES,
   translate(substr(c.text, 1, 400), chr(10), ' ') AS snippet
   FROM hits h JOIN kb_chunks c ON h.chunk_key = c.chunk_key""")
 def search_snippets_q(spark: SparkSession, d: str) -> DataFrame:
-    chunks = kb_chunks(spark, d)
+    index = build(spark, d, ("kb",))
     ms = TB.messages(spark, d).select(F.lit("kb").alias("store"), "query_id", F.col("text").alias("key"))
-    hits = S.search_sparse(ms, chunks)
-    return S.snippets(hits, chunks).select("query_id", "rank", "snippet")
+    hits = S.search_sparse(ms, index)
+    return S.snippets(hits, index.chunks).select("query_id", "rank", "snippet")
 
 
 BOTH_SQL = (O.SLA_BASE + O.KB_BASE + ALL_QUESTIONS_SQL[1:] + [
@@ -263,10 +273,10 @@ BOTH_SQL = (O.SLA_BASE + O.KB_BASE + ALL_QUESTIONS_SQL[1:] + [
 
 
 def both_stores_hits(spark: SparkSession, d: str):
-    chunks = sla_chunks(spark, d).unionByName(kb_chunks(spark, d))
+    index = build(spark, d)
     qs = all_questions(spark, d)
     bq = qs.select(F.explode(F.array(F.lit("kb"), F.lit("sla"))).alias("store"), "query_id", F.col("text").alias("key"))
-    return S.search_sparse(bq, chunks), qs
+    return S.search_sparse(bq, index), qs
 
 
 @register("search_both_stores", O.with_(*BOTH_SQL)
@@ -288,9 +298,9 @@ def hit_counts_q(spark: SparkSession, d: str) -> DataFrame:
                 ON h.chunk_key = c.chunk_key WHERE h.query_id = qs.query_id), '')) AS context_md5
   FROM qs""")
 def build_context_q(spark: SparkSession, d: str) -> DataFrame:
-    chunks = sla_chunks(spark, d)
+    index = build(spark, d, ("sla",))
     qs = TB.questions(spark, d).select(F.lit("sla").alias("store"), "query_id", F.col("text").alias("key"))
-    ctx = S.build_context(S.search_sparse(qs, chunks), chunks, qs.select("query_id"))
+    ctx = S.build_context(S.search_sparse(qs, index), index.chunks, qs.select("query_id"))
     return ctx.select("query_id", F.md5("context").alias("context_md5"))
 
 
@@ -451,8 +461,8 @@ def _pipeline_sql(profile: str, select: str) -> str:
 
 def _prompts(spark: SparkSession, d: str, profile: str) -> DataFrame:
     if profile == "sla":
-        return PL.anonymized_prompts(TB.questions(spark, d), sla_chunks(spark, d), "sla")
-    return PL.anonymized_prompts(TB.messages(spark, d), kb_chunks(spark, d), "kb")
+        return PL.anonymized_prompts(TB.questions(spark, d), build(spark, d, ("sla",)), "sla")
+    return PL.anonymized_prompts(TB.messages(spark, d), build(spark, d, ("kb",)), "kb")
 
 
 @register("prompt_kb", _pipeline_sql("kb", "SELECT query_id, " + sql_md5_len("prompt", "prompt") + " FROM prompts"))
@@ -493,13 +503,13 @@ def answers_join_q(spark: SparkSession, d: str) -> DataFrame:
 
 @register("pipeline_sla", _pipeline_sql("sla", "SELECT query_id, ticket_id, " + sql_md5_len("final", "final") + " FROM final"))
 def pipeline_sla_q(spark: SparkSession, d: str) -> DataFrame:
-    out = PL.answer(TB.questions(spark, d), sla_chunks(spark, d), "sla")
+    out = PL.answer(TB.questions(spark, d), build(spark, d, ("sla",)), "sla")
     return out.select("query_id", "ticket_id", *md5_len("final", "final"))
 
 
 @register("pipeline_kb", _pipeline_sql("kb", "SELECT query_id, ticket_id, " + sql_md5_len("final", "final") + " FROM final"))
 def pipeline_kb_q(spark: SparkSession, d: str) -> DataFrame:
-    out = PL.answer(TB.messages(spark, d), kb_chunks(spark, d), "kb")
+    out = PL.answer(TB.messages(spark, d), build(spark, d, ("kb",)), "kb")
     return out.select("query_id", "ticket_id", *md5_len("final", "final"))
 
 
@@ -512,16 +522,11 @@ INDEX_SQL = O.SLA_BASE + O.KB_BASE + [
     O.vectors("cv", "chunks", ["store", "chunk_key"])]
 
 
-def _built_index(spark: SparkSession, d: str):
-    path = scratch_dir(spark, "index")
-    IX.write_index(sla_chunks(spark, d).unionByName(kb_chunks(spark, d)), path)
-    return IX.read_index(spark, path)
-
-
 @register("build_index", O.with_(*INDEX_SQL) + """ SELECT c.store, c.chunk_key, CAST(length(c.text) AS BIGINT) AS chunk_len,
   (SELECT count(*) FROM cv WHERE cv.chunk_key = c.chunk_key AND cv.store = c.store) AS n_postings FROM chunks c""")
 def build_index_q(spark: SparkSession, d: str) -> DataFrame:
-    chunks, posts = _built_index(spark, d)
+    index = build(spark, d)
+    chunks, posts = index.chunks, index.postings
     n = posts.groupBy("store", "chunk_key").agg(F.count(F.lit(1)).alias("n_postings"))
     return (chunks.join(n, ["store", "chunk_key"], "left")
             .select("store", "chunk_key", F.length("text").cast("long").alias("chunk_len"),
@@ -531,6 +536,6 @@ def build_index_q(spark: SparkSession, d: str) -> DataFrame:
 @register("index_roundtrip", O.with_(*INDEX_SQL) + """ SELECT store, count(*) AS n_chunks,
   CAST(sum(length(text)) AS BIGINT) AS n_chars FROM chunks GROUP BY store""")
 def index_roundtrip_q(spark: SparkSession, d: str) -> DataFrame:
-    chunks, _ = _built_index(spark, d)
+    chunks = build(spark, d).chunks
     return chunks.groupBy("store").agg(F.count(F.lit(1)).alias("n_chunks"),
                                        F.sum(F.length("text")).cast("long").alias("n_chars"))
