@@ -46,7 +46,10 @@ def _empty(dtype: T.DataType) -> Column:
 # (the text, the id list, the lookup map) is handed in as a zipped array
 # (``array_repeat`` shares one reference), never referenced from inside the
 # lambda: Catalyst may inline an expensive producer at such a reference and
-# then evaluate it once per element.
+# then evaluate it once per element. For the same reason operators explode
+# computed arrays with the ``_outer`` generators: a plain explode makes the
+# optimizer infer ``size(array) > 0`` and push a second copy of the whole
+# array expression below the projection.
 
 
 def _rep(value: Column, like: Column) -> Column:

@@ -28,7 +28,7 @@ def fixed_windows(text, size: int, overlap: int):
 
 def chunk_fixed(df: DataFrame, size: int, overlap: int, keep: list[str], text: str = "text") -> DataFrame:
     """P5: one row per non-empty window, ``chunk_no`` dense from 0."""
-    return (df.select(*keep, F.posexplode(fixed_windows(F.col(text), size, overlap)).alias("chunk_no", "chunk"))
+    return (df.select(*keep, F.posexplode_outer(fixed_windows(F.col(text), size, overlap)).alias("chunk_no", "chunk"))
             .where(F.length("chunk") > 0)
             .withColumn("chunk_no", F.col("chunk_no").cast("int")))
 
@@ -106,5 +106,6 @@ def _recursive_udf(size: int, overlap: int):
 def chunk_recursive(df: DataFrame, size: int, overlap: int, keep: list[str], text: str = "text") -> DataFrame:
     """Arrow-batched splitter, then ``posexplode`` (chunk_no from 0)."""
     fn = _recursive_udf(size, overlap)
-    return (df.select(*keep, F.posexplode(fn(F.col(text))).alias("chunk_no", "chunk"))
+    return (df.select(*keep, F.posexplode_outer(fn(F.col(text))).alias("chunk_no", "chunk"))
+            .where(F.col("chunk").isNotNull())
             .withColumn("chunk_no", F.col("chunk_no").cast("int")))

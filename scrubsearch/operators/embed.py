@@ -30,7 +30,7 @@ def embed_sparse(df: DataFrame, key: str | list[str], text: str = "text") -> Dat
     then run in that partitioning with no further exchange."""
     keys = [key] if isinstance(key, str) else list(key)
     df = df.select(*keys, text).repartition(*keys)
-    toks = (df.select(*keys, F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))),
+    toks = (df.select(*keys, F.explode_outer(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))),
                                                fixed.TOKEN_SPLIT, -1)).alias("tok"))
             .where(F.length("tok") > 0))
     tf = toks.groupBy(*keys, token_bucket(F.col("tok")).alias("bucket")).agg(F.count(F.lit(1)).alias("tf"))

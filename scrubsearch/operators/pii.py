@@ -123,7 +123,7 @@ def detect_counts(df: DataFrame, key: str, text: str, detectors=None, lang: str
             n = F.when(F.col(lang).isin(allowed) | ~F.col(lang).isin(list(fixed.LANG_DETECTORS)), n).otherwise(F.lit(0))
         cols.append(F.struct(F.lit(ent).alias("entity"), n.cast("long").alias("n")))
     keep = [key] + ([lang] if lang else [])
-    return (df.select(*keep, F.explode(F.array(*cols)).alias("d"))
+    return (df.select(*keep, F.explode_outer(F.array(*cols)).alias("d"))
             .select(*keep, "d.entity", "d.n").where(F.col("n") > 0))
 
 
@@ -135,7 +135,7 @@ def resolved_spans(df: DataFrame, key: str, text: str, detectors=None) -> DataFr
     dets = list(detectors or fixed.DETECTORS) + [fixed.PLACEHOLDER_DETECTOR]
     merged = (df.select(key, masked.alias("_masked"))
               .select(key, "_masked", C.merge_spans(C.detect_spans(F.col("_masked"), dets)).alias("m")))
-    ex = merged.select(key, "_masked", F.posexplode("m").alias("n", "x"))
+    ex = merged.select(key, "_masked", F.posexplode_outer("m").alias("n", "x")).where(F.col("x").isNotNull())
     s = C.char_offset(F.col("_masked"), F.col("x.s"))
     return ex.select(key, F.col("n").cast("long").alias("n"), s.cast("long").alias("s"),
                      (s + F.col("x.e") - F.col("x.s")).cast("long").alias("e"), F.col("x.entity").alias("entity"))
@@ -169,7 +169,7 @@ def detect_names(df: DataFrame, key: str, text: str, names: DataFrame) -> DataFr
     pairs = F.arrays_zip(toks.alias("a"), nxt.alias("b"))
     grams = F.concat(toks, F.transform(F.filter(pairs, lambda x: x["b"].isNotNull()),
                                        lambda x: F.concat_ws(" ", x["a"], x["b"])))
-    cand = df.select(key, F.explode(grams).alias("name")).where(F.length("name") > 0)
+    cand = df.select(key, F.explode_outer(grams).alias("name")).where(F.length("name") > 0)
     dictionary = names.select("name").distinct()
     return (cand.join(dictionary, "name").groupBy(key, "name")
             .agg(F.count(F.lit(1)).alias("n")))

@@ -379,7 +379,8 @@ def anonymize_map_q(spark: SparkSession, d: str) -> DataFrame:
           + " SELECT id AS doc_id, ph, original, entity FROM a_map")
 def pii_mapping_q(spark: SparkSession, d: str) -> DataFrame:
     a = pii.anonymize(TB.documents(spark, d), "text", "anon")
-    return a.select("doc_id", F.explode("anon_mapping").alias("m")).select("doc_id", "m.ph", "m.original", "m.entity")
+    return (a.select("doc_id", F.explode_outer("anon_mapping").alias("m")).where(F.col("m").isNotNull())
+            .select("doc_id", "m.ph", "m.original", "m.entity"))
 
 
 def _labels_sql(stage: str) -> str:
@@ -480,7 +481,8 @@ def prompt_sla_q(spark: SparkSession, d: str) -> DataFrame:
   UNION ALL SELECT id, ph, original FROM ac_pres UNION ALL SELECT id, ph, original FROM aq_pres)"""))
 def merge_mappings_q(spark: SparkSession, d: str) -> DataFrame:
     p = _prompts(spark, d, "sla")
-    return p.select("query_id", F.explode("mapping").alias("m")).select("query_id", "m.ph", "m.original")
+    return (p.select("query_id", F.explode_outer("mapping").alias("m")).where(F.col("m").isNotNull())
+            .select("query_id", "m.ph", "m.original"))
 
 
 @register("restore_pii", _pipeline_sql("sla", "SELECT query_id, md5(restored) AS restored_md5, "
