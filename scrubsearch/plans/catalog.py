@@ -541,3 +541,47 @@ def index_roundtrip_q(spark: SparkSession, d: str) -> DataFrame:
     chunks = build(spark, d).chunks
     return chunks.groupBy("store").agg(F.count(F.lit(1)).alias("n_chunks"),
                                        F.sum(F.length("text")).cast("long").alias("n_chars"))
+
+
+# ---------------------------------------------------------------------------
+# Workbook source (S1, S3, S4) and the streaming message loop (E5)
+# ---------------------------------------------------------------------------
+
+def _workbook_rows(spark: SparkSession, d: str):
+    from scrubsearch.sources import xlsx
+
+    folder = scratch_dir(spark, "workbooks")
+    xlsx.write_workbooks(TB.tickets(spark, d), TB.TICKET_COLUMNS, folder)
+    return xlsx.read_workbooks(spark, folder)
+
+
+@register("xlsx_ticket_scan", O.with_(O.TICKETS) + f" SELECT {O.flatten_expr(O.TICKET_COLUMNS)} AS text FROM tickets")
+def xlsx_ticket_scan_q(spark: SparkSession, d: str) -> DataFrame:
+    rows, _ = _workbook_rows(spark, d)
+    return rows.select("text")
+
+
+@register("ingest_errors")
+def ingest_errors_q(spark: SparkSession, d: str) -> DataFrame:
+    _, errors = _workbook_rows(spark, d)
+    return errors
+
+
+@register("stream_answers", _pipeline_sql("kb", "SELECT query_id, ticket_id, " + sql_md5_len("final", "final") + " FROM final"))
+def stream_answers_q(spark: SparkSession, d: str) -> DataFrame:
+    """E5: user messages arrive as JSON activity files and are answered
+    micro-batch by micro-batch against the persisted KB index; the result
+    equals the batch KB pipeline on the same messages."""
+    from scrubsearch.operators.index import write_index
+    from scrubsearch.streaming import answers
+
+    index_path = scratch_dir(spark, "index")
+    write_index(kb_chunks(spark, d), index_path)
+    inbox = scratch_dir(spark, "activities")
+    TB.conversation_activities(spark, d).repartition(4).write.json(inbox)
+    out = scratch_dir(spark, "answers")
+    q = answers.start(spark, inbox, index_path, out, scratch_dir(spark, "stream-ckpt"), profile="kb",
+                      max_files_per_trigger=2)
+    q.awaitTermination()
+    res = spark.read.parquet(out)
+    return res.select("query_id", "ticket_id", *md5_len("final", "final"))

@@ -93,9 +93,12 @@ def conversation_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def read_activities(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
+def read_activities(spark: SparkSession, path: str, streaming: bool = False,
+                    max_files_per_trigger: int | None = None) -> DataFrame:
     """S6 source: message JSON with a declared schema (batch or stream)."""
     reader = spark.readStream if streaming else spark.read
+    if streaming and max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.schema(ACTIVITY).json(path)
 
 
