@@ -85,17 +85,24 @@ def write_index(chunks: DataFrame, path: str, mode: str = "errorifexists", max_d
     if mode == "overwrite":
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     chunks.write.mode(mode).partitionBy("store").parquet(f"{path}/chunks")
-    written = spark.read.parquet(f"{path}/chunks")
+    written = spark.read.schema(CHUNKS_SCHEMA).parquet(f"{path}/chunks")
     postings(written).write.mode(mode).partitionBy("store").parquet(f"{path}/postings")
-    posts = spark.read.parquet(f"{path}/postings")
+    posts = spark.read.schema(POSTINGS_SCHEMA).parquet(f"{path}/postings")
     stop_buckets(posts, max_df).write.mode("overwrite" if mode == "append" else mode).partitionBy("store").parquet(
         f"{path}/stops")
     return read_index(spark, path)
 
 
+# Declared schemas: an empty store (S5) or an empty stop list writes no
+# Parquet file, and must still read back as an empty table.
+CHUNKS_SCHEMA = "source string, doc_id long, chunk_no int, chunk_key string, text string, store string"
+POSTINGS_SCHEMA = "chunk_key string, bucket long, tf long, norm2 long, store string"
+STOPS_SCHEMA = "bucket long, store string"
+
+
 def read_index(spark: SparkSession, path: str, store: str | None = None) -> Index:
-    idx = Index(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/postings"),
-                spark.read.parquet(f"{path}/stops"))
+    rd = lambda sub, schema: spark.read.schema(schema).parquet(f"{path}/{sub}")
+    idx = Index(rd("chunks", CHUNKS_SCHEMA), rd("postings", POSTINGS_SCHEMA), rd("stops", STOPS_SCHEMA))
     return idx.store(store) if store is not None else idx
 
 
