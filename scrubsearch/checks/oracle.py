@@ -91,7 +91,7 @@ def vectors(name: str, src: str, keys: list[str], text: str = "text") -> str:
   SELECT {k}, unnest(string_split_regex(lower(coalesce({text}, '')), {q(fixed.TOKEN_SPLIT)})) AS tok FROM {src}),
 {name}_c AS (
   SELECT {k}, CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) AS bucket, count(*) AS tf
-  FROM {name}_t WHERE length(tok) > 0 GROUP BY ALL),
+  FROM {name}_t WHERE length(tok) >= {fixed.MIN_TOKEN_LEN} GROUP BY ALL),
 {name} AS (SELECT *, sum(tf * tf) OVER (PARTITION BY {k}) AS norm2 FROM {name}_c)"""
 
 

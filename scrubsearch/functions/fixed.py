@@ -106,4 +106,8 @@ LANG_DETECTORS = {
 # share of a store's chunks are stop words (score 0), which bounds the
 # fan-out of the posting-list join.
 TOKEN_SPLIT = r"[^a-z0-9]+"
+# One-character tokens are dropped (as common tokenizers do): fixed-width
+# chunks cut words, and a one-letter fragment shared by every query (the
+# "s" of "what's") would pair every query with the same chunks.
+MIN_TOKEN_LEN = 2
 MAX_DF = 0.02

@@ -1,7 +1,7 @@
 """The embed plug point and its default, a hashed bag of tokens.
 
 Sparse form ``(key, bucket, tf, norm2)``: tokens are runs of [a-z0-9] in the
-lower-cased text, a token's bucket is the first 32 bits of its md5, ``tf``
+lower-cased text, at least two characters long, a token's bucket is the first 32 bits of its md5, ``tf``
 its count in the text and ``norm2`` the text's sum of squared counts. The
 weight is ``tf / sqrt(norm2)``. Counts stay integers so a dot product
 ``sum(tf_q * tf_c) / sqrt(norm2_q * norm2_c)`` is computed by the same IEEE
@@ -32,7 +32,7 @@ def embed_sparse(df: DataFrame, key: str | list[str], text: str = "text") -> Dat
     df = df.select(*keys, text).repartition(*keys)
     toks = (df.select(*keys, F.explode_outer(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))),
                                                fixed.TOKEN_SPLIT, -1)).alias("tok"))
-            .where(F.length("tok") > 0))
+            .where(F.length("tok") >= fixed.MIN_TOKEN_LEN))
     tf = toks.groupBy(*keys, token_bucket(F.col("tok")).alias("bucket")).agg(F.count(F.lit(1)).alias("tf"))
     return tf.withColumn("norm2", F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy(*keys)))
 

@@ -53,13 +53,17 @@ def topk_sparse(query_vec: DataFrame, chunk_vec: DataFrame, stops: DataFrame, k:
     """query_vec (store, query_id, bucket, tf, norm2) x chunk_vec (store,
     chunk_key, bucket, tf, norm2) -> (store, query_id, rank, chunk_key, score).
 
-    Stop buckets are dropped from the chunk side (broadcast anti-join), the
+    Stop buckets are dropped from both sides (broadcast anti-join), the
     posting lists are equi-joined on (store, bucket), and the pairs are then
     partitioned by query once: both the per-pair sum and the top-k window run
     in that partitioning. Queries with no shared token get no row."""
-    c = chunk_vec.join(F.broadcast(stops), [store, "bucket"], "left_anti").select(
+    stops = F.broadcast(stops)
+    c = chunk_vec.join(stops, [store, "bucket"], "left_anti").select(
         store, "chunk_key", "bucket", F.col("tf").alias("tc"), F.col("norm2").alias("nc"))
-    q = query_vec.select(store, "query_id", "bucket", F.col("tf").alias("tq"), F.col("norm2").alias("nq"))
+    # dropping stop buckets on the query side too keeps tokens every query
+    # shares (a third of all rows may carry one) out of the join shuffle
+    q = query_vec.join(stops, [store, "bucket"], "left_anti").select(
+        store, "query_id", "bucket", F.col("tf").alias("tq"), F.col("norm2").alias("nq"))
     pairs = (q.join(c, [store, "bucket"])
              .select(store, "query_id", "chunk_key", (F.col("tq") * F.col("tc")).alias("p"), "nq", "nc")
              .repartition(store, "query_id")
