@@ -105,8 +105,15 @@ def spans_of(text: Column, entity: str, pattern: str, luhn: bool = False) -> Col
     return out
 
 
+def may_match(text: Column, entity: str) -> Column:
+    """Cheap necessary condition for a detector to match (see DETECTOR_GUARD)."""
+    lit = fixed.DETECTOR_GUARD.get(entity)
+    return F.contains(text, F.lit(lit)) if lit else text.rlike("[0-9]")
+
+
 def detect_spans(text: Column, detectors) -> Column:
-    arrays = [spans_of(text, ent, pat, luhn) for ent, pat, luhn in detectors]
+    arrays = [F.when(may_match(text, ent), spans_of(text, ent, pat, luhn)).otherwise(_empty(SPAN))
+              for ent, pat, luhn in detectors]
     return F.concat(*arrays) if len(arrays) > 1 else arrays[0]
 
 

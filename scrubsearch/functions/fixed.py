@@ -94,6 +94,10 @@ DETECTORS = [
 # a span, so a literal "__PII_0__" in the input is restored as that literal.
 PLACEHOLDER_DETECTOR = ("PLACEHOLDER", PLACEHOLDER, False)
 
+# A text a detector can match must contain this literal, or any digit when
+# None: a necessary condition checked before the regex passes run.
+DETECTOR_GUARD = {"EMAIL_ADDRESS": "@", "PLACEHOLDER": "__"}
+
 # Per-language detector choice (A14): US-specific formats only for English.
 US_ONLY = {"US_SSN"}
 LANG_DETECTORS = {

@@ -117,7 +117,7 @@ def detect_counts(df: DataFrame, key: str, text: str, detectors=None, lang: str
         ms = C.matches(t, pat)
         if luhn:
             ms = F.filter(ms, C.luhn_ok)
-        n = F.size(ms)
+        n = F.when(C.may_match(t, ent), F.size(ms)).otherwise(F.lit(0))
         if lang is not None:
             allowed = [lg for lg, dets in fixed.LANG_DETECTORS.items() if any(d[0] == ent for d in dets)]
             n = F.when(F.col(lang).isin(allowed) | ~F.col(lang).isin(list(fixed.LANG_DETECTORS)), n).otherwise(F.lit(0))
