@@ -119,3 +119,11 @@ def test_embed_counts(spark):
     df = spark.createDataFrame([(1, "Ab ab bc! BC-bc x")], "id int, text string")
     rows = sorted((r.tf, r.norm2) for r in embed_sparse(df, "id").collect())
     assert rows == [(2, 13), (3, 13)]  # "x" is shorter than the minimum token length
+
+
+def test_lsh_recall(spark, sf_small):
+    e = TB.table(spark, sf_small, "embeddings").select("vec_id", "embedding")
+    q = e.withColumnRenamed("vec_id", "query_id")
+    exact = set(map(tuple, S.topk_dense(spark, q, e, k=10).select("query_id", "vec_id").collect()))
+    approx = set(map(tuple, S.topk_lsh(q, e, k=10).select("query_id", "vec_id").collect()))
+    assert len(approx & exact) / len(exact) >= 0.9
