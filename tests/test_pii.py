@@ -118,3 +118,14 @@ def test_names_dictionary(spark):
     names = spark.createDataFrame([("Customer#000000001",), ("Ada Lovelace",)], "name string")
     got = sorted((r.id, r.name, r.n) for r in pii.detect_names(df, "id", "text", names).collect())
     assert got == [(0, "Ada Lovelace", 1), (0, "Customer#000000001", 1)]
+
+
+def test_nested_spans_cut_to_one_placeholder(spark):
+    text = "0123456789abcdefghij-rest"
+    for spans, want in [([(0, 20, "A", "x"), (5, 10, "B", "y")], "__PII_0__-rest"),
+                        ([(0, 10, "A", "x"), (5, 15, "B", "y")], "__PII_0__fghij-rest")]:
+        df = spark.createDataFrame([(text, spans)], "t string, spans array<struct<s:int,e:int,entity:string,original:string>>")
+        merged = C.merge_spans(F.col("spans"))
+        cut, originals = C.cut_spans(F.col("t"), merged, lambda x, i: C.placeholder(fixed.PII_PREFIX, "", i))
+        r = df.select(cut.alias("c"), originals.alias("o")).first()
+        assert r.c == want and "".join(r.o) + r.c[len("__PII_0__"):] == text
