@@ -29,8 +29,18 @@ ACTIVITY = T.StructType([
 STRIP_CHARS = " \t\n\r\x0b\x0c"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows when the scan yields fewer partitions than the
+    cluster has task slots (a small table in one file with one row group is
+    read by a single task, and the per-row text work downstream would run on
+    one core). Large inputs already split into many partitions and pass
+    through untouched; filters and column pruning still reach the scan."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
