@@ -72,3 +72,11 @@ def test_matches_duckdb_oracle(spark, sf_small, name):
         return sorted(out, key=repr)
 
     assert canon(got) == canon(want)
+
+
+def test_spread_only_when_under_partitioned(spark):
+    par = spark.sparkContext.defaultParallelism
+    small = spark.range(100).coalesce(1)
+    assert TB.spread(small).rdd.getNumPartitions() == par
+    wide = spark.range(1000).repartition(par * 2)
+    assert TB.spread(wide) is wide
