@@ -16,7 +16,7 @@ from scrubsearch.operators import chunk as CH
 from scrubsearch.operators import find, pii
 from scrubsearch.operators import index as IX
 from scrubsearch.operators import search as S
-from scrubsearch.operators.answer import inject_ticket, prompt_kb, prompt_sla, ticket_header
+from scrubsearch.operators.answer import inject_ticket, prompt_sla, ticket_header
 from scrubsearch.operators.embed import embed_sparse
 from scrubsearch.operators.flatten import flatten_rows, pack_rows
 from scrubsearch.plans import pipeline as PL
