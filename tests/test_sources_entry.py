@@ -80,3 +80,14 @@ def test_spread_only_when_under_partitioned(spark):
     assert TB.spread(small).rdd.getNumPartitions() == par
     wide = spark.range(1000).repartition(par * 2)
     assert TB.spread(wide) is wide
+
+
+NO_CROSS = ["topk_sparse", "search_both_stores", "hit_counts", "build_context", "topk_lsh",
+            "detect_names_dict", "pipeline_sla", "pipeline_kb", "topk_l2"]
+
+
+@pytest.mark.parametrize("name", NO_CROSS)
+def test_no_cross_join_in_plan(spark, sf_small, name):
+    df = E.queries()[name](spark, sf_small)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
