@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubsearch.llm import mixing, repetition, shard, spiece
+from scrubsearch.llm import langid, linecut, mixing, neardup, repetition, shard, spiece
 from scrubsearch.llm.common import bounded_batches
 
 QUERIES: dict = {}
@@ -28,6 +28,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@register("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents: the lang column is the declared tag, the source is the host."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return langid.identify(docs, "text", "lang", "source").drop("text", "lang", "source").withColumnRenamed(
+        "lid_accepted", "kept")
+
+
+@register("page_language_id")
+def page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages: tag of the html element, host and suffix of the address, text of the extraction."""
+    pages = langid.page_evidence(table(spark, sf_dir, "pages"))
+    text = linecut.extract_text(pages, keep=["page_tag", "page_host"])
+    return langid.identify(text, "text", "page_tag", "page_host").drop("text", "n_chars", "page_tag")
+
+
+@register("op4_html_text")
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linecut.extract_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 @register("op5_sharding")
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id")
@@ -96,6 +117,11 @@ def op7_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
 
 
+@register("op8_near_duplicates")
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4)
+
+
 @register("op9_sentencepiece")
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spiece.encode_documents(table(spark, sf_dir, "documents"), check=True)

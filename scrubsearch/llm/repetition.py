@@ -18,7 +18,7 @@ from scrubsearch.llm.common import WORD_RE, as_text, map_rows, mix64
 # n-gram length -> largest share of word characters inside repeated n-grams.
 COVERAGE_LIMITS = {2: 0.9, 4: 0.6, 6: 0.5, 10: 0.4}
 LINE_LIMIT = 0.5           # share of word characters in lines seen before
-SYMBOL_LIMIT = 0.5         # symbols per word
+SYMBOL_LIMIT = 0.1         # symbols per word
 MIN_WORDS = 50
 REPEAT_PERCENT = 50        # of words inside repeated 3-word windows
 SYMBOLS = "#*$%&|<>"       # fixed
