@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from scrubsearch.session import checkpoint_root
+from scrubsearch.session import checkpoint_root, scratch_dir
 
 # Fixed: a word is a maximal run of anything but ASCII white space.
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
@@ -43,13 +43,30 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there."""
-    sc = df.sparkSession.sparkContext
-    root = checkpoint_root(df.sparkSession)
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(root)
+    spark = df.sparkSession
+    root = checkpoint_root(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(root)
     return df.checkpoint(eager)
 
 
+def store(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write ``df`` as a table in the shared folder; the table and its path.
+
+    For loops: a checkpoint keeps the size that the optimizer has estimated,
+    which multiplies with every join of every round; a table has a size.
+    """
+    path = scratch_dir(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``store`` that nothing will read again."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def lookup(df: DataFrame, table: DataFrame, on: str, max_broadcast_rows: int = 100_000) -> DataFrame:
     """Left-join a one-row-per-key table, broadcasting it only while it is small.
 

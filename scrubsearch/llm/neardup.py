@@ -11,10 +11,11 @@
    rule out the wanted similarity by a wide margin are dropped. First each
    document's best candidate is confirmed on the full sets; then every other
    candidate between two components found so far.
-5. A large bucket whose members are still in several components is finished in
-   blocks: all members outside its largest component meet all members, in cells
-   of bounded size, by bit counts, and what passes is confirmed on full sets. So
-   no pair that shares a band is left out unless it is inside one component.
+5. Large buckets whose members are still in several components are finished in
+   blocks: all members outside the largest component meet all members, in cells
+   of bounded size, where common shingles are counted exactly. Only links leave
+   a cell. So no pair that shares a band is left out unless one component
+   already holds both.
 
 Links are confirmed exactly on the full sets, so there are no false ones. A
 pair at similarity s shares no band with probability (1 - s^ROWS)^BANDS: at
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubsearch.llm.common import WORD_RE, as_text, cut, fresh, map_rows, mix64
+from scrubsearch.llm.common import WORD_RE, as_text, cut, discard, fresh, map_rows, mix64, store
 
 SHINGLE_WORDS = 5
 PERCENT = 80              # links: 100 * common >= PERCENT * union
@@ -41,7 +42,9 @@ BITS = 4                  # low bits kept of each minimum
 WORDS64 = PERMUTATIONS * BITS // 64
 MARGIN = 0.2              # over five standard errors of the estimate at 0.8
 SMALL_BUCKET = 12         # all pairs up to this many members
-CELL = 128                # members of a block of a large bucket
+CELL = 512                # members of a block of a cluster, about
+CELL_SHINGLES = 1 << 20   # shingles of a block, about
+SLICE = 4096              # shingles in one step of a cell's count
 BROADCAST_IDS = 1_000_000
 
 _RNG = np.random.default_rng(20240607)
@@ -150,21 +153,25 @@ def connected(links: DataFrame) -> DataFrame:
     Labels spread along links and are followed (a label's label) until nothing
     changes; each round is written to the checkpoint folder.
     """
-    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-               .where("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
-                 .select("node", F.least("node", "least").alias("comp")))
+    spark = links.sparkSession
+    both, links_at = store(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+                           .where("a <> b").distinct())
+    labels, at = store(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
+                       .select("node", F.least("node", "least").alias("comp")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(
             F.min("comp").alias("near"))
         hooked = labels.join(near, "node").select(
             "node", F.least("comp", "near").alias("to"), F.col("comp").alias("old"))
         follow = labels.select(F.col("node").alias("to"), F.col("comp").alias("next"))
-        step = cut(hooked.join(follow, "to", "left").select(
+        step, step_at = store(hooked.join(follow, "to", "left").select(
             "node", F.least("to", F.coalesce("next", "to")).alias("comp"), "old"))
-        done = step.where("comp <> old").limit(1).count() == 0
-        labels = step.select("node", "comp")
-        if done:
+        discard(spark, at)
+        labels, at = step.select("node", "comp"), step_at
+        if not step.where("comp <> old").limit(1).count():
+            labels = cut(labels)
+            discard(spark, at)
+            discard(spark, links_at)
             return labels
 
 
@@ -184,13 +191,14 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_rows(joined.select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
-def _estimated(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """The pairs with their estimate, without those that fall below ``least``."""
-    a = reps.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
-    b = reps.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
-    est = pairs.join(a, "a").join(b, "b").select(
+def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs with their estimate, without those that sizes or estimate rule out."""
+    a = reps.select(F.col("node").alias("a"), F.col("sig").alias("sa"), F.col("weight").alias("wa"))
+    b = reps.select(F.col("node").alias("b"), F.col("sig").alias("sb"), F.col("weight").alias("wb"))
+    sizes = 100 * F.least("wa", "wb") >= percent * F.greatest("wa", "wb")
+    est = pairs.join(a, "a").join(b, "b").where(sizes).select(
         "a", "b", similarity_of(_differing(F.col("sa"), F.col("sb"))).alias("est"))
-    return est.where(F.col("est") >= least)
+    return est.where(F.col("est") >= percent / 100 - MARGIN)
 
 
 def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -201,47 +209,112 @@ def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
             .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb"))
 
 
-def _blocked(mixed: DataFrame, sizes: DataFrame, least: float) -> DataFrame:
-    """Candidates (a, b) across the components of large buckets, cell by cell.
+def _possible(x: pd.DataFrame, y: pd.DataFrame, percent: int) -> np.ndarray:
+    """Which pairs of rows (comp, sig, weight) are worth an exact count.
 
-    ``mixed``: bucket, node, comp, sig, outside (not in the bucket's largest
-    component). ``sizes``: bucket, n_out, n_all. A cell holds about CELL
-    members of each side, whatever the bucket's size.
+    They lie in different components, their sizes allow the similarity, and
+    their bit counts do not rule it out.
     """
-    def blocks(n: str) -> Column:
-        return F.greatest(F.lit(1), F.ceil(F.col(n) / CELL)).cast("int")
+    sx, sy = (np.stack(list(s["sig"])).astype(np.int64).view(np.uint64) for s in (x, y))
+    mask = np.uint64(_GROUP_MASK & (2**64 - 1))
+    diff = np.zeros((len(x), len(y)), np.int16)
+    for w in range(WORDS64):
+        d = sx[:, w, None] ^ sy[None, :, w]
+        step = 1
+        while step < BITS:
+            d = d | (d >> np.uint64(step))
+            step *= 2
+        diff += np.bitwise_count(d & mask)
+    nx, ny = x["weight"].to_numpy()[:, None], y["weight"].to_numpy()[None, :]
+    return ((similarity_of(diff) >= percent / 100 - MARGIN)
+            & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny))
+            & (x["comp"].to_numpy()[:, None] != y["comp"].to_numpy()[None, :]))
+
 
-    rows = mixed.join(sizes, "bucket").withColumn("h", F.xxhash64("node"))
-    cell = ["bucket", "i", "j", "node", "comp", "sig", "left"]
+def _link_cell(x: pd.DataFrame, y: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between the rows of x and y, one per pair of components.
+
+    Rows: node, comp, weight, sig, set. Common shingles are counted exactly, as
+    a product of 0/1 matrices over slices of the shingles that both sides have.
+    """
+    possible = _possible(x, y, percent)
+    x, y = x[possible.any(axis=1)], y[possible.any(axis=0)]
+    if not len(x):
+        return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+
+    def flat(sets) -> tuple[np.ndarray, np.ndarray]:
+        parts = [np.frombuffer(s, np.uint64) for s in sets]
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+
+    vx, nx = flat(x["set"])
+    vy, ny = flat(y["set"])
+    both = np.intersect1d(vx, vy)
+    common = np.zeros((len(nx), len(ny)), np.float32)
+
+    def within(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        col = np.searchsorted(both, values)
+        hit = both[np.minimum(col, len(both) - 1)] == values
+        order = np.argsort(col[hit], kind="stable")
+        return row[hit][order], col[hit][order]
+
+    if len(both):
+        rx, cx = within(vx, nx)
+        ry, cy = within(vy, ny)
+        for at in range(0, len(both), SLICE):
+            def part(r, c, rows):
+                lo, hi = np.searchsorted(c, [at, at + SLICE])
+                m = np.zeros((rows, SLICE), np.float32)
+                m[r[lo:hi], c[lo:hi] - at] = 1
+                return m
+            common += part(rx, cx, len(nx)) @ part(ry, cy, len(ny)).T
+    common = np.rint(common).astype(np.int64)
+    close = 100 * common >= percent * (nx[:, None] + ny[None, :] - common)
+    close &= x["comp"].to_numpy()[:, None] != y["comp"].to_numpy()[None, :]
+    k, m = np.nonzero(close)
+    links = pd.DataFrame({"a": x["node"].to_numpy()[k], "b": y["node"].to_numpy()[m],
+                          "ca": x["comp"].to_numpy()[k], "cb": y["comp"].to_numpy()[m]})
+    return links.drop_duplicates(["ca", "cb"])[["a", "b"]]
+
+
+def _finish(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) across the components of each cluster, cell by cell.
+
+    ``members``: cluster, node, comp, sig, weight (shingles). The members outside the
+    cluster's largest component meet all members. Both sides are dealt over
+    blocks of about CELL members and CELL_SHINGLES shingles, so that a cell is
+    small whatever the cluster's size; only links leave a cell.
+    """
+    k, w = F.count("*").alias("k"), F.sum("weight").alias("w")
+    per_comp = members.groupBy("cluster", "comp").agg(k, w)
+    sizes = per_comp.groupBy("cluster").agg(
+        F.sum("k").alias("n"), F.sum("w").alias("w"),
+        F.max_by(F.struct("comp", "k", "w"), F.struct("k", "comp")).alias("main"))
+
+    def blocks(count: Column, weight: Column) -> Column:
+        return F.greatest(F.ceil(count / CELL), F.ceil(weight / CELL_SHINGLES)).cast("int")
+
+    sizes = cut(sizes.select(
+        "cluster", F.col("main.comp").alias("main"), blocks(F.col("n"), F.col("w")).alias("b_all"),
+        blocks(F.col("n") - F.col("main.k"), F.col("w") - F.col("main.w")).alias("b_out"))
+        .where("b_out > 0"))
+    rows = (members.join(sizes, "cluster").join(sets, "node")
+            .withColumns({"h": F.xxhash64("node"), "outside": F.col("comp") != F.col("main")}))
+    cell = ["cluster", "i", "j", "node", "comp", "weight", "sig", "set", "left"]
     left = rows.where("outside").withColumns({
-        "i": F.pmod("h", blocks("n_out").cast("long")).cast("int"), "left": F.lit(True),
-        "j": F.explode(F.sequence(F.lit(0), blocks("n_all") - 1))}).select(cell)
+        "i": F.pmod("h", F.col("b_out").cast("long")).cast("int"), "left": F.lit(True),
+        "j": F.explode(F.sequence(F.lit(0), F.col("b_all") - 1))}).select(cell)
     right = rows.withColumns({
-        "j": F.pmod("h", blocks("n_all").cast("long")).cast("int"), "left": F.lit(False),
-        "i": F.explode(F.sequence(F.lit(0), blocks("n_out") - 1))}).select(cell)
+        "j": F.pmod("h", F.col("b_all").cast("long")).cast("int"), "left": F.lit(False),
+        "i": F.explode(F.sequence(F.lit(0), F.col("b_out") - 1))}).select(cell)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         is_left = frame["left"].to_numpy(bool)
-        x, y = frame[is_left], frame[~is_left]
-        if not len(x) or not len(y):
+        if is_left.all() or not is_left.any():
             return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        sx, sy = (np.stack(list(s["sig"])).astype(np.int64).view(np.uint64) for s in (x, y))
-        mask = np.uint64(_GROUP_MASK & (2**64 - 1))
-        diff = np.zeros((len(x), len(y)), np.int64)
-        for w in range(WORDS64):
-            d = sx[:, w, None] ^ sy[None, :, w]
-            step = 1
-            while step < BITS:
-                d = d | (d >> np.uint64(step))
-                step *= 2
-            diff += np.bitwise_count(d & mask)
-        close = (similarity_of(diff) >= least) & (
-            x["comp"].to_numpy()[:, None] != y["comp"].to_numpy()[None, :])
-        k, m = np.nonzero(close)
-        a, b = x["node"].to_numpy()[k], y["node"].to_numpy()[m]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return left.unionByName(right).groupBy("bucket", "i", "j").applyInPandas(run, "a long, b long").distinct()
+        return _link_cell(frame[is_left], frame[~is_left], percent)
+
+    return left.unionByName(right).groupBy("cluster", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -254,11 +327,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     of them. A row without id takes no part: component_id null, kept true.
     Other columns of ``docs`` are ignored; an empty table gives an empty one.
     """
-    least = percent / 100 - MARGIN
     table = cut(signatures(docs, doc_id, text, shingle_words))
     classes = table.where("fp IS NOT NULL AND doc_id IS NOT NULL")
     reps = cut(classes.groupBy("fp").agg(
-        F.min("doc_id").alias("node"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")))
+        F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("weight"),
+        F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")))
 
     members = reps.select("node", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(
@@ -271,12 +344,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     star = large.select(F.explode(F.array(
         F.struct(F.col("lo").alias("a"), F.col("node").alias("b")),
         F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*").where("a <> b")
-    one_per_node = reps.groupBy("node").agg(F.any_value("sig").alias("sig"))
-    pairs = cut(_estimated(small.unionByName(star).distinct(), one_per_node, least))
+    one_per_node = reps.groupBy("node").agg(F.any_value("sig").alias("sig"), F.max("weight").alias("weight"))
+    pairs = cut(_estimated(small.unionByName(star).distinct(), one_per_node, percent))
 
-    def sets_of(links: DataFrame) -> DataFrame:
-        """Full sets of the documents in the pairs, hashed again from their texts."""
-        ids = cut(links.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """Full sets of the given nodes (distinct), hashed again from their texts."""
+        ids = cut(ids)
         few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
         cols = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text"))
         wanted = cols.join(F.broadcast(ids) if few else ids, "node")
@@ -291,27 +364,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ends = pairs.select("a", "b", "est", F.explode(F.array("a", "b")).alias("node"))
     best = ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("est", -F.col("a"), -F.col("b"))).alias("p"))
     first = cut(best.select("p.*").distinct())
-    sets = cut(sets_of(pairs))
+    sets = cut(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
     links = cut(_confirm(first, sets, percent))
     labels = connected(links)
     rest = _between(pairs.join(first, ["a", "b"], "left_anti"), labels)
     links = cut(links.unionByName(_confirm(rest, sets, percent)))
     labels = connected(links)
 
-    # Large buckets in several components.
+    # Large buckets in several components. Buckets that share members are
+    # finished together, so that no pair is compared once per band.
     placed = large.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    per_comp = cut(placed.groupBy("bucket", "comp").agg(F.countDistinct("node").alias("k")))
-    sizes = cut(per_comp.groupBy("bucket").agg(
-        F.sum("k").alias("n_all"), F.max_by("comp", F.struct("k", "comp")).alias("main"),
-        F.max("k").alias("k_main")).where("k_main < n_all").withColumn("n_out", F.col("n_all") - F.col("k_main")))
-    if sizes.limit(1).count():
-        mixed = (placed.join(sizes.select("bucket", "main"), "bucket").join(one_per_node, "node")
-                 .select("bucket", "node", "comp", "sig", (F.col("comp") != F.col("main")).alias("outside")).distinct())
-        more = cut(_blocked(mixed, sizes.select("bucket", "n_out", "n_all"), least)
-                   .join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
-        if more.limit(1).count():
-            links = cut(links.unionByName(_confirm(more, sets_of(more), percent)))
-            labels = connected(links)
+    mixed = cut(placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
+                .where("x <> y").select("bucket"))
+    if mixed.limit(1).count():
+        tied = cut(placed.join(mixed, "bucket").select("lo", "node", "comp").distinct())
+        clusters = connected(tied.select(F.col("lo").alias("a"), F.col("node").alias("b")))
+        nodes = cut(tied.select("node", "comp").distinct()
+                    .join(clusters.withColumnRenamed("comp", "cluster"), "node")
+                    .join(one_per_node, "node"))
+        links = cut(links.unionByName(_finish(nodes, sets_of(nodes.select("node")), percent)))
+        labels = connected(links)
 
     # Documents of a class follow its representative; an id with several texts
     # ties their components together.
