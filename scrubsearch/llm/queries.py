@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubsearch.llm import langid, linecut, mixing, neardup, repetition, shard, spiece
+from scrubsearch.llm import langid, linecut, mixing, neardup, repetition, shard, spiece, topk
 from scrubsearch.llm.common import bounded_batches
 
 QUERIES: dict = {}
@@ -55,6 +55,29 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.assign_shards(docs, "doc_id", SHARDS).select("doc_id", "slot", "shard")
 
 
+TOPK_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@register("op6_top_k", TOPK_SQL)
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set is every vec_id divisible by 50, against all rows."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def _repetition_sql() -> str:
     r"""Words by position, the n-grams that start at each, and whether they recur."""
     lengths = sorted({3, *repetition.COVERAGE_LIMITS})
