@@ -150,29 +150,40 @@ def signatures(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
 def connected(links: DataFrame) -> DataFrame:
     """node, comp (the smallest node reachable) for the nodes of the links (a, b).
 
-    Labels spread along links and are followed (a label's label) until nothing
-    changes; each round is written to the checkpoint folder.
+    Each round every node moves two steps along smallest neighbours, and the
+    links are rewritten between the new places; links within one place go. The
+    links shrink fast; the rounds are written as tables in the shared folder.
     """
     spark = links.sparkSession
-    both, links_at = store(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-                           .where("a <> b").distinct())
-    labels, at = store(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
-                       .select("node", F.least("node", "least").alias("comp")))
+    edges, edges_at = store(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+                            .where("a <> b").distinct())
+    labels, labels_at = None, None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(
-            F.min("comp").alias("near"))
-        hooked = labels.join(near, "node").select(
-            "node", F.least("comp", "near").alias("to"), F.col("comp").alias("old"))
-        follow = labels.select(F.col("node").alias("to"), F.col("comp").alias("next"))
-        step, step_at = store(hooked.join(follow, "to", "left").select(
-            "node", F.least("to", F.coalesce("next", "to")).alias("comp"), "old"))
-        discard(spark, at)
-        labels, at = step.select("node", "comp"), step_at
-        if not step.where("comp <> old").limit(1).count():
-            labels = cut(labels)
-            discard(spark, at)
-            discard(spark, links_at)
-            return labels
+        ends = edges.select(F.col("b").alias("node"), F.col("a").alias("near")).unionByName(
+            edges.select(F.col("a").alias("node"), F.col("a").alias("near")))
+        near = ends.groupBy("node").agg(F.min("near").alias("to"))
+        near, near_at = store(near)
+        step = near.join(near.toDF("to", "next"), "to").select("node", F.col("next").alias("place"))
+        step, step_at = store(step)
+        discard(spark, near_at)
+        if labels is None:
+            labels, labels_at = store(step.select("node", F.col("place").alias("comp")))
+        else:
+            moved, moved_at = store(labels.join(step.toDF("comp", "place"), "comp", "left")
+                                    .select("node", F.coalesce("place", "comp").alias("comp")))
+            discard(spark, labels_at)
+            labels, labels_at = moved, moved_at
+        kept = (edges.join(step.toDF("a", "pa"), "a").join(step.toDF("b", "pb"), "b").where("pa <> pb")
+                .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        kept, kept_at = store(kept)
+        discard(spark, edges_at)
+        discard(spark, step_at)
+        edges, edges_at = kept, kept_at
+        if not edges.limit(1).count():
+            out = cut(labels)
+            discard(spark, labels_at)
+            discard(spark, edges_at)
+            return out
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubsearch.llm import langid, linecut, mixing, neardup, repetition, shard, spiece, topk
+from scrubsearch.llm import bytecnn, langid, linecut, mixing, neardup, repetition, shard, spiece, topk
 from scrubsearch.llm.common import bounded_batches
 
 QUERIES: dict = {}
@@ -44,6 +44,13 @@ def page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(text, "text", "page_tag", "page_host").drop("text", "n_chars", "page_tag")
 
 
+@register("op2_quality")
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = bytecnn.train(*bytecnn.sample(docs, table(spark, sf_dir, "labels")))
+    return bytecnn.score_quality(docs, net)
+
+
 @register("op4_html_text")
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linecut.extract_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
