@@ -236,3 +236,11 @@ def page_evidence(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
         tag: F.regexp_extract(F.col(html), r"""(?i)<html\b[^>]*?\slang\s*=\s*["']?([A-Za-z]{2,3}[A-Za-z0-9_-]*)""", 1),
         host: F.regexp_extract(F.col(url), r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1),
     })
+
+
+def keep_identified(docs: DataFrame, text: str = "text", declared: str | None = "lang",
+                    host: str | None = "source", **options) -> DataFrame:
+    """The accepted rows of ``docs``, with its columns."""
+    prefix, = fresh(docs, "lid_keep_")
+    found = identify(docs, text, declared, host, prefix=prefix, **options)
+    return found.where(prefix + "accepted").select(*docs.columns)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubsearch.llm import bytecnn, langid, linecut, mixing, neardup, repetition, shard, spiece, topk
+import corpus_pipeline
+from scrubsearch.llm import bytecnn, langid, linecut, mixing, neardup, pii, repetition, shard, spiece, topk
 from scrubsearch.llm.common import bounded_batches
 
 QUERIES: dict = {}
@@ -51,6 +52,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytecnn.score_quality(docs, net)
 
 
+@register("op3_pii")
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.span_digest(pii.find_pii(docs, pii.train_on(docs)))
+
+
 @register("op4_html_text")
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linecut.extract_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
@@ -214,3 +221,6 @@ FROM run
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
+
+
+register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
