@@ -34,7 +34,7 @@ from scrubsearch.llm.common import as_text, map_rows
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 CACHE_WORD_CHARS = 64
 
 
@@ -86,7 +86,7 @@ class Pieces:
         """Whether ``right`` is a piece that may follow ``left`` ("": the start)."""
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) > 2 * CACHE_WORDS:
+            if len(self.pairs) > CACHE_WORDS:
                 self.pairs.clear()
             want = [left, right] if left else [right]
             known = self.pairs[left, right] = (
