@@ -34,10 +34,31 @@ from scrubsearch.llm.common import as_text, map_rows
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-CACHE_WORDS = 150_000
+CACHE_WORDS = 120_000      # of a generation; two are kept
+CACHE_PAIRS = 120_000
 CACHE_WORD_CHARS = 64
 
 
+class Remembered:
+    """A table of bounded size that keeps what is used: two generations of ``limit``."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def get(self, key):
+        value = self.young.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.limit:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class Pieces:
     """Pieces, scores and byte ids of a SentencePiece BPE model."""
 
@@ -65,8 +86,8 @@ class Pieces:
             raise ValueError("the model needs a piece for each byte")
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
             raise ValueError("a piece has the space mark inside; words can't be encoded alone")
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, bytes] = {}  # word -> its ids as int32
+        self.pairs = Remembered(CACHE_PAIRS)   # (left, right) -> whether they may be neighbours
+        self.words = Remembered(CACHE_WORDS)   # word -> its ids as int32 bytes
 
     def merge(self, text: str) -> list[str]:
         """Greedy merging of a short string: best score first, then leftmost."""
@@ -86,11 +107,9 @@ class Pieces:
         """Whether ``right`` is a piece that may follow ``left`` ("": the start)."""
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) > CACHE_WORDS:
-                self.pairs.clear()
             want = [left, right] if left else [right]
-            known = self.pairs[left, right] = (
-                right in self.id and self.merge(right) == [right] and self.merge(left + right) == want)
+            known = right in self.id and self.merge(right) == [right] and self.merge(left + right) == want
+            self.pairs.put((left, right), known)
         return known
 
     def ids_of(self, piece: str) -> list[int]:
@@ -106,20 +125,19 @@ def viterbi(text: str, pieces: Pieces, on_commit=None) -> list[int]:
     ids: list[int] = []
     longest = pieces.longest
     start, last = 0, [""]  # last[k]: last piece of the prefix that ends at start + k
-    by_end, pairs, vocabulary, none = pieces.by_end, pieces.pairs, pieces.id, ()
+    by_end, vocabulary, none = pieces.by_end, pieces.id, ()
+    allowed = pieces.allowed
     for end in range(1, len(text) + 1):
         found = char = text[end - 1]
         at = end - start
-        if not pieces.allowed(last[at - 1], char):
+        if not allowed(last[at - 1], char):
             for n in by_end.get(text[end - 2: end], none):
                 if n > at:
                     break
                 piece = text[end - n: end]
                 if piece not in vocabulary:
                     continue
-                left = last[at - n]
-                known = pairs.get((left, piece))
-                if known or (known is None and pieces.allowed(left, piece)):
+                if allowed(last[at - n], piece):
                     found = piece
                     break
         last.append(found)
@@ -153,14 +171,16 @@ def encode(text: str, pieces: Pieces) -> np.ndarray:
     if not text:
         return np.empty(0, np.int32)
     cache, out = pieces.words, []
+    young = cache.young.get
     for word in _WORD.findall(SPACE + text.replace(" ", SPACE)):
-        ids = cache.get(word)
+        ids = young(word)
         if ids is None:
-            ids = np.array(viterbi(word, pieces), np.int32).tobytes()
-            if len(word) <= CACHE_WORD_CHARS:
-                if len(cache) >= CACHE_WORDS:
-                    cache.clear()
-                cache[word] = ids
+            ids = cache.get(word)
+            if ids is None:
+                ids = np.array(viterbi(word, pieces), np.int32).tobytes()
+                if len(word) <= CACHE_WORD_CHARS:
+                    cache.put(word, ids)
+            young = cache.young.get
         out.append(ids)
     return np.frombuffer(b"".join(out), np.int32)
 
