@@ -34,8 +34,9 @@ from scrubsearch.llm.common import as_text, map_rows
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-CACHE_WORDS = 120_000      # of a generation; two are kept
-CACHE_PAIRS = 120_000
+CACHE_WORDS = 200_000      # of a generation; two are kept
+CACHE_PAIRS = 250_000
+OTHER = -1
 CACHE_WORD_CHARS = 64
 
 
@@ -77,16 +78,21 @@ class Pieces:
         for b, i in self.byte.items():
             self.raw[i] = bytes([b])
         self.longest = max(map(len, self.id))
-        # Lengths of the pieces that end in these one or two characters.
-        ends: dict[str, set[int]] = {}
-        for p in self.id:
-            ends.setdefault(p[-2:], set()).add(len(p))
-        self.by_end = {c: sorted(lens) for c, lens in ends.items()}
+        self.length = [len(p) for p in self.text]
+        # Pieces by their characters from the last to the first; "" holds the id.
+        self.by_end: dict = {}
+        for p, i in self.id.items():
+            node = self.by_end
+            for c in reversed(p):
+                node = node.setdefault(c, {})
+            node[""] = i
+        if any(c not in self.id for p in self.id for c in p):
+            raise ValueError("a piece has a character that is no piece")
         if len(self.byte) != 256:
             raise ValueError("the model needs a piece for each byte")
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
             raise ValueError("a piece has the space mark inside; words can't be encoded alone")
-        self.pairs = Remembered(CACHE_PAIRS)   # (left, right) -> whether they may be neighbours
+        self.pairs = Remembered(CACHE_PAIRS)   # left * pieces + right -> whether they may be neighbours
         self.words = Remembered(CACHE_WORDS)   # word -> its ids as int32 bytes
 
     def merge(self, text: str) -> list[str]:
@@ -103,19 +109,20 @@ class Pieces:
             parts[at: at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def allowed(self, left: str, right: str) -> bool:
-        """Whether ``right`` is a piece that may follow ``left`` ("": the start)."""
-        known = self.pairs.get((left, right))
+    def allowed(self, left: int, right: int) -> bool:
+        """Whether piece ``right`` may follow piece ``left``.
+
+        OTHER stands for the start and for a character outside the vocabulary;
+        no merge crosses it.
+        """
+        known = self.pairs.get(left * len(self.text) + right)
         if known is None:
-            want = [left, right] if left else [right]
-            known = right in self.id and self.merge(right) == [right] and self.merge(left + right) == want
-            self.pairs.put((left, right), known)
+            piece = self.text[right]
+            known = self.merge(piece) == [piece] and (
+                left == OTHER or self.merge(self.text[left] + piece) == [self.text[left], piece])
+            self.pairs.put(left * len(self.text) + right, known)
         return known
 
-    def ids_of(self, piece: str) -> list[int]:
-        known = self.id.get(piece)
-        return [known] if known is not None else [self.byte[b] for b in piece.encode()]
-
 
 def viterbi(text: str, pieces: Pieces, on_commit=None) -> list[int]:
     """Ids of a string, in one left-to-right pass over a bounded window.
@@ -123,23 +130,23 @@ def viterbi(text: str, pieces: Pieces, on_commit=None) -> list[int]:
     ``on_commit(position, window)`` is called whenever ids become final.
     """
     ids: list[int] = []
-    longest = pieces.longest
-    start, last = 0, [""]  # last[k]: last piece of the prefix that ends at start + k
-    by_end, vocabulary, none = pieces.by_end, pieces.id, ()
-    allowed = pieces.allowed
+    longest, length = pieces.longest, pieces.length
+    start, last = 0, [OTHER]  # last[k]: last piece of the prefix that ends at start + k
+    tree, pairs, n_pieces = pieces.by_end, pieces.pairs, len(pieces.text)
     for end in range(1, len(text) + 1):
-        found = char = text[end - 1]
-        at = end - start
-        if not allowed(last[at - 1], char):
-            for n in by_end.get(text[end - 2: end], none):
-                if n > at:
-                    break
-                piece = text[end - n: end]
-                if piece not in vocabulary:
-                    continue
-                if allowed(last[at - n], piece):
+        node, at, found = tree, end - 1, OTHER
+        while at >= start:
+            node = node.get(text[at])
+            if node is None:
+                break
+            piece = node.get("")
+            if piece is not None:
+                left = last[at - start]
+                known = pairs.young.get(left * n_pieces + piece)
+                if known or (known is None and pieces.allowed(left, piece)):
                     found = piece
                     break
+            at -= 1
         last.append(found)
         if end - start >= 2 * longest or end == len(text):
             # Follow the paths of all positions that a later piece can start
@@ -148,17 +155,22 @@ def viterbi(text: str, pieces: Pieces, on_commit=None) -> list[int]:
             while len(live) > 1:
                 far = max(live)
                 live.remove(far)
-                live.add(far - len(last[far - start]))
+                piece = last[far - start]
+                live.add(far - (1 if piece == OTHER else length[piece]))
                 if min(live) <= start:
                     live = {start}
             boundary = live.pop()
             if boundary > start:
                 path, at = [], boundary
                 while at > start:
-                    path.append(last[at - start])
-                    at -= len(path[-1])
-                for piece in reversed(path):
-                    ids += pieces.ids_of(piece)
+                    piece = last[at - start]
+                    at -= 1 if piece == OTHER else length[piece]
+                    path.append((piece, at))
+                for piece, at in reversed(path):
+                    if piece == OTHER:
+                        ids += [pieces.byte[b] for b in text[at].encode()]
+                    else:
+                        ids.append(piece)
                 last = last[boundary - start:]
                 start = boundary
                 if on_commit:
