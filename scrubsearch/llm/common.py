@@ -18,7 +18,7 @@ WORD_RE = re.compile(WORD_CLASS)
 
 # Texts reach Python in Arrow batches of at most this many rows, so that a
 # batch of long documents stays small next to a task's memory.
-ARROW_ROWS = 1024
+ARROW_ROWS = 256
 
 
 def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
