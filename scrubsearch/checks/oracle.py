@@ -88,31 +88,42 @@ def vectors(name: str, src: str, keys: list[str], text: str = "text") -> str:
     """R1 sparse form: (keys, bucket, tf, norm2)."""
     k = ", ".join(keys)
     return f"""{name}_t AS (
-  SELECT {k}, unnest(string_split_regex(lower(coalesce({text}, '')), {q(fixed.TOKEN_SPLIT)})) AS tok FROM {src}),
+  SELECT {k}, unnest(string_split_regex(regexp_replace(lower(coalesce({text}, '')), {q(fixed.SPACELESS)}, ' \\1 ', 'g'),
+                                        {q(fixed.TOKEN_SPLIT)})) AS tok FROM {src}),
 {name}_c AS (
   SELECT {k}, CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) AS bucket, count(*) AS tf
-  FROM {name}_t WHERE length(tok) >= {fixed.MIN_TOKEN_LEN} GROUP BY ALL),
+  FROM {name}_t WHERE tok <> '' GROUP BY ALL),
 {name} AS (SELECT *, sum(tf * tf) OVER (PARTITION BY {k}) AS norm2 FROM {name}_c)"""
 
 
-def sparse_topk(name: str, qv: str, cv: str, k: int = fixed.TOP_K, max_df: float = fixed.MAX_DF) -> str:
-    """R2b over vectors qv (store, query_id, ...) and cv (store, chunk_key, ...)."""
-    return f"""{name}_n AS (SELECT store, count(DISTINCT chunk_key) AS n FROM {cv} GROUP BY store),
-{name}_stop AS (
-  SELECT c.store, c.bucket FROM {cv} c JOIN {name}_n n ON c.store = n.store
-  GROUP BY c.store, c.bucket, n.n HAVING count(*) > CAST({max_df!r} AS DOUBLE) * n.n),
+def sparse_topk(name: str, qv: str, cv: str, qsrc: str, csrc: str, k: int = fixed.TOP_K) -> str:
+    """R2b over vectors qv (store, query_id, ...) and cv (store, chunk_key, ...)
+    of the queries qsrc and the chunks csrc: every pair that shares a token,
+    then chunks without one at score 0. A query that shares tokens with fewer
+    than k chunks has its k best among those and the first 2k chunks by key."""
+    return f"""{name}_c AS (SELECT store, chunk_key, row_number() OVER (PARTITION BY store ORDER BY chunk_key) AS cid FROM {csrc}),
+{name}_cv AS (SELECT v.store, c.cid, v.bucket, v.tf FROM {cv} v JOIN {name}_c c ON v.store = c.store AND v.chunk_key = c.chunk_key),
+{name}_nq AS (SELECT DISTINCT store, query_id, norm2 AS nq FROM {qv}),
+{name}_nc AS (SELECT DISTINCT v.store, c.cid, v.norm2 AS nc FROM {cv} v JOIN {name}_c c ON v.store = c.store AND v.chunk_key = c.chunk_key),
 {name}_p AS (
-  SELECT qv.store, qv.query_id, cv.chunk_key, sum(qv.tf * cv.tf) AS dot,
-         max(qv.norm2) AS nq, max(cv.norm2) AS nc
-  FROM {qv} qv JOIN {cv} cv ON qv.store = cv.store AND qv.bucket = cv.bucket
-  WHERE NOT EXISTS (SELECT 1 FROM {name}_stop s WHERE s.store = cv.store AND s.bucket = cv.bucket)
-  GROUP BY qv.store, qv.query_id, cv.chunk_key),
+  SELECT qv.store, qv.query_id, cv.cid, sum(qv.tf * cv.tf) AS dot
+  FROM {qv} qv JOIN {name}_cv cv ON qv.store = cv.store AND qv.bucket = cv.bucket
+  GROUP BY qv.store, qv.query_id, cv.cid),
 {name}_s AS (
-  SELECT store, query_id, chunk_key, CAST(dot AS DOUBLE) / sqrt(CAST(nq * nc AS DOUBLE)) AS score FROM {name}_p),
+  SELECT p.store, p.query_id, p.cid, CAST(dot AS DOUBLE) / sqrt(CAST(nq * nc AS DOUBLE)) AS score
+  FROM {name}_p p JOIN {name}_nq a ON p.store = a.store AND p.query_id = a.query_id
+  JOIN {name}_nc b ON p.store = b.store AND p.cid = b.cid),
+{name}_t AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY store, query_id ORDER BY score DESC, cid) AS rank
+                 FROM {name}_s) WHERE rank <= {k}),
+{name}_z AS (
+  SELECT store, query_id, cid, score FROM {name}_t UNION ALL
+  SELECT s.store, s.query_id, c.cid, 0.0 FROM {qsrc} s JOIN {name}_c c ON s.store = c.store AND c.cid <= {2 * k}
+  WHERE NOT EXISTS (SELECT 1 FROM {name}_t t WHERE t.store = s.store AND t.query_id = s.query_id AND t.cid = c.cid)),
 {name} AS (
-  SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY store, query_id ORDER BY score DESC, chunk_key) AS rank
-    FROM {name}_s) WHERE rank <= {k})"""
+  SELECT r.store, r.query_id, c.chunk_key, r.score, r.rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY store, query_id ORDER BY score DESC, cid) AS rank FROM {name}_z) r
+  JOIN {name}_c c ON r.store = c.store AND r.cid = c.cid WHERE r.rank <= {k})"""
 
 
 def ticket_expr(text: str) -> str:
@@ -269,7 +280,7 @@ def pipeline(profile: str, restore_on: bool = True) -> list[str]:
         f"pqs AS (SELECT '{profile}' AS store, query_id, key FROM pq)",
         vectors("qv", "pqs", ["store", "query_id"], "key"),
         vectors("cv", chunks, ["store", "chunk_key"]),
-        sparse_topk("hits", "qv", "cv"),
+        sparse_topk("hits", "qv", "cv", "pqs", chunks),
         f"""ctx AS (
   SELECT pq.query_id, pq.text, pq.ticket_id,
          coalesce((SELECT string_agg(c.text, ' ' ORDER BY h.rank) FROM hits h JOIN {chunks} c ON h.chunk_key = c.chunk_key

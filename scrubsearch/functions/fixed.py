@@ -105,13 +105,8 @@ LANG_DETECTORS = {
     for lang in ("en", "de", "fr", "es")
 }
 
-# Sparse embedding: tokens are runs of [a-z0-9] after lower-casing; a token's
-# bucket is the first 32 bits of its md5. Buckets present in more than this
-# share of a store's chunks are stop words (score 0), which bounds the
-# fan-out of the posting-list join.
-TOKEN_SPLIT = r"[^a-z0-9]+"
-# One-character tokens are dropped (as common tokenizers do): fixed-width
-# chunks cut words, and a one-letter fragment shared by every query (the
-# "s" of "what's") would pair every query with the same chunks.
-MIN_TOKEN_LEN = 2
-MAX_DF = 0.02
+# Sparse embedding: the lower-cased text is cut at everything that is no
+# letter, mark or digit of any script; scripts written without spaces give one
+# token a character. A token's bucket is the first 32 bits of its md5.
+TOKEN_SPLIT = r"[^\p{L}\p{M}\p{N}]+"
+SPACELESS = r"([\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}])"

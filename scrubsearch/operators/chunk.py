@@ -18,12 +18,19 @@ from scrubsearch.functions import fixed
 
 
 def fixed_windows(text, size: int, overlap: int):
-    """P5 as a column: windows of ``size`` characters every ``size-overlap``."""
+    """P5 as a column: windows of ``size`` characters every ``size-overlap``.
+
+    One pass cuts the text into blocks of a step; a window is a block and the
+    start of those after it, so the cost is linear in the text's length."""
     step = size - overlap
-    last = F.greatest(F.length(text) - F.lit(overlap + 1), F.lit(0))
-    starts = F.sequence(F.lit(0), last, F.lit(step))
-    z = F.arrays_zip(starts.alias("i"), F.array_repeat(text, F.size(starts)).alias("t"))
-    return F.transform(z, lambda x: x["t"].substr(x["i"] + 1, F.lit(size)))
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    follow = -(-overlap // step)
+    z = F.arrays_zip(*[F.slice(blocks, i + 1, F.greatest(F.size(blocks), F.lit(1))).alias(f"b{i}")
+                       for i in range(follow + 1)])
+    # the last block starts no window of its own if the one before covers it
+    n = F.greatest(F.ceil((F.length(text) - F.lit(overlap)) / F.lit(float(step))), F.lit(1)).cast("int")
+    return F.transform(F.slice(z, 1, n), lambda x: F.substring(
+        F.concat(*[F.coalesce(x[f"b{i}"], F.lit("")) for i in range(follow + 1)]), 1, size))
 
 
 def chunk_fixed(df: DataFrame, size: int, overlap: int, keep: list[str], text: str = "text") -> DataFrame:

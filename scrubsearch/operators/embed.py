@@ -1,18 +1,21 @@
 """The embed plug point and its default, a hashed bag of tokens.
 
-Sparse form ``(key, bucket, tf, norm2)``: tokens are runs of [a-z0-9] in the
-lower-cased text, at least two characters long, a token's bucket is the first 32 bits of its md5, ``tf``
-its count in the text and ``norm2`` the text's sum of squared counts. The
-weight is ``tf / sqrt(norm2)``. Counts stay integers so a dot product
-``sum(tf_q * tf_c) / sqrt(norm2_q * norm2_c)`` is computed by the same IEEE
-operations in every engine (exact oracle, stable ranking).
+Tokens are runs of letters, marks and digits of any script in the lower-cased
+text (one ideograph or kana each); none is left out. A token's bucket is the
+first 32 bits of its md5, ``tf`` its count in the text and ``norm2`` the
+text's sum of squared counts. The weight is ``tf / sqrt(norm2)``. Counts stay
+integers so a dot product ``sum(tf_q * tf_c) / sqrt(norm2_q * norm2_c)`` is
+computed by the same IEEE operations in every engine (exact oracle, stable
+ranking).
+
+A text's vector is computed inside its row: no shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrubsearch.functions import fixed
@@ -22,37 +25,44 @@ def token_bucket(tok):
     return F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("long")
 
 
-def embed_sparse(df: DataFrame, key: str | list[str], text: str = "text") -> DataFrame:
-    """Explode tokens, count per (key, bucket), attach the squared norm.
+def tokens(text: Column) -> Column:
+    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), fixed.SPACELESS, " $1 ")
+    return F.filter(F.split(spaced, fixed.TOKEN_SPLIT, -1), lambda t: t != "")
 
-    Keys are unique per input row, so the rows are hash-partitioned by key
-    once (text is smaller than its postings); the count and the norm window
-    then run in that partitioning with no further exchange."""
-    keys = [key] if isinstance(key, str) else list(key)
-    df = df.select(*keys, text).repartition(*keys)
-    toks = (df.select(*keys, F.explode_outer(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))),
-                                               fixed.TOKEN_SPLIT, -1)).alias("tok"))
-            .where(F.length("tok") >= fixed.MIN_TOKEN_LEN))
-    tf = toks.groupBy(*keys, token_bucket(F.col("tok")).alias("bucket")).agg(F.count(F.lit(1)).alias("tf"))
-    return tf.withColumn("norm2", F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy(*keys)))
 
+def embed_rows(df: DataFrame, text: str = "text") -> DataFrame:
+    """Add ``buckets`` and ``tfs`` (parallel arrays, buckets ascending) and ``norm2``.
+
+    Equal buckets are neighbours once sorted; a run's length is the distance
+    to the next run's start, so the cost is that of the sort."""
+    df = df.withColumn("_b", F.array_sort(F.transform(tokens(F.col(text)), token_bucket)))
+    before = F.slice(F.concat(F.array(F.lit(-1).cast("long")), F.col("_b")), 1, F.size("_b"))
+    numbered = F.transform(F.arrays_zip(F.col("_b").alias("b"), before.alias("p")),
+                           lambda x, i: F.struct(x["b"].alias("b"), x["p"].alias("p"), i.alias("i")))
+    df = df.withColumn("_runs", F.filter(numbered, lambda x: x["b"] != x["p"]))
+    ends = F.slice(F.concat(F.transform("_runs", lambda x: x["i"]), F.array(F.size("_b"))), 2, F.size("_runs"))
+    tfs = F.transform(F.arrays_zip(F.col("_runs").alias("r"), ends.alias("e")),
+                      lambda x: (x["e"] - x["r"]["i"]).cast("long"))
+    df = (df.withColumn("buckets", F.transform("_runs", lambda x: x["b"])).withColumn("tfs", tfs))
+    return (df.withColumn("norm2", F.aggregate("tfs", F.lit(0).cast("long"), lambda acc, x: acc + x * x))
+            .drop("_b", "_runs"))
 
-def sparse_weights(vec: DataFrame) -> DataFrame:
-    return vec.withColumn("weight", F.col("tf") / F.sqrt(F.col("norm2").cast("double")))
 
+def explode_vectors(vec: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per (keys, bucket) with ``tf`` and ``norm2``."""
+    return (vec.select(*keys, "norm2", F.explode_outer(F.arrays_zip("buckets", "tfs")).alias("x"))
+            .where(F.col("x").isNotNull())
+            .select(*keys, F.col("x.buckets").alias("bucket"), F.col("x.tfs").alias("tf"), "norm2"))
 
-# Plug point: any function (DataFrame, key, text) -> (key, bucket, tf, norm2)
-# can replace the default, e.g. a mapInPandas model embedder.
-Embedder = Callable[[DataFrame, str, str], DataFrame]
-DEFAULT_EMBEDDER: Embedder = embed_sparse
+
+def embed_sparse(df: DataFrame, key: str | list[str], text: str = "text") -> DataFrame:
+    """(key, bucket, tf, norm2): the vectors of ``embed_rows``, exploded."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return explode_vectors(embed_rows(df.select(*keys, text), text), keys)
 
 
-def to_dense(vec: DataFrame, key: str, dim: int) -> DataFrame:
-    """Dense hashed vector (bucket mod dim), L2-normalised, ARRAY<DOUBLE>."""
-    folded = (sparse_weights(vec).groupBy(key, (F.col("bucket") % dim).alias("slot"))
-              .agg(F.sum("weight").alias("w")))
-    return (folded.groupBy(key)
-            .agg(F.map_from_entries(F.collect_list(F.struct("slot", "w"))).alias("m"))
-            .select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                                     lambda i: F.coalesce(F.try_element_at(F.col("m"), i.cast("long")),
-                                                          F.lit(0.0))).alias("embedding")))
+# Plug point: any function (DataFrame, text column name) -> DataFrame with
+# buckets, tfs and norm2 added can replace the default, for chunks
+# (write_index) and questions (search_sparse) alike.
+Embedder = Callable[[DataFrame, str], DataFrame]
+DEFAULT_EMBEDDER: Embedder = embed_rows

@@ -1,10 +1,12 @@
-"""K1-K3 and the chunk builders of E3/E4: the index is a Parquet table.
+"""K1-K3 and the chunk builders of E3/E4: the index is one Parquet table.
 
-``chunks``   (store, source, doc_id, chunk_no, chunk_key, text), partitioned by store
-``postings`` (store, chunk_key, bucket, tf, norm2), partitioned by store
+``chunks`` (store, source, doc_id, chunk_no, chunk_key, text, buckets, tfs,
+norm2), partitioned by store: a chunk and its vector are written together, so
+they cannot differ, and a search reads the columns it needs.
 
-The chunk key is a sha256 of the chunk's lineage, so rebuilding or
-re-appending the same input produces the same keys (idempotent, deviation V6).
+The chunk key is a sha256 of the chunk's lineage, so rebuilding gives the
+same keys, and appending chunks that are there already adds nothing
+(deviation V6).
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from scrubsearch.functions import fixed
 from scrubsearch.operators import chunk as CH
-from scrubsearch.operators.embed import embed_sparse
+from scrubsearch.operators.embed import DEFAULT_EMBEDDER, Embedder, explode_vectors
 from scrubsearch.operators.flatten import flatten_rows, pack_rows
 from scrubsearch.sources.tables import TICKET_COLUMNS
 
@@ -49,67 +51,82 @@ def sla_chunks(tickets: DataFrame, size: int = fixed.SLA_CHUNK_SIZE, overlap: in
     return _keyed(fn(packed, size, overlap, keep=["source", "doc_id"]), "sla")
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    return embed_sparse(chunks.select("store", "chunk_key", "text"), ["store", "chunk_key"])
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+# A store without chunks (S5) writes no Parquet file and must still read back
+# as an empty table, hence a declared schema.
+CHUNKS_SCHEMA = ("source string, doc_id long, chunk_no int, chunk_key string, text string, "
+                 "buckets array<long>, tfs array<long>, norm2 long, store string")
+
+
 @dataclass
 class Index:
-    """A persisted index: chunk texts, their postings, and per-store stop buckets."""
-    chunks: DataFrame
-    postings: DataFrame
-    stops: DataFrame
+    """A persisted index: chunk texts with their vectors."""
+    table: DataFrame
+
+    @property
+    def chunks(self) -> DataFrame:
+        return self.table.drop("buckets", "tfs", "norm2")
+
+    @property
+    def vectors(self) -> DataFrame:
+        return self.table.select("store", "chunk_key", "buckets", "tfs", "norm2")
+
+    @property
+    def postings(self) -> DataFrame:
+        return explode_vectors(self.vectors, ["store", "chunk_key"])
 
     def store(self, name: str) -> "Index":
         """Partition pruning: only the store's directories are read."""
-        keep = lambda df: df.where(F.col("store") == name)
-        return Index(keep(self.chunks), keep(self.postings), keep(self.stops))
+        return Index(self.table.where(F.col("store") == name))
 
 
-def write_index(chunks: DataFrame, path: str, mode: str = "errorifexists", max_df: float = fixed.MAX_DF) -> Index:
-    """K1 (+K3): chunks, postings and stop buckets as store-partitioned Parquet.
-
-    Each table is embedded/derived from the table written before it, so the
-    lineage is cut at every step and a lost executor only re-runs one stage.
-    ``mode='append'`` adds batches; ``'overwrite'`` with dynamic partition
-    overwrite rebuilds only the stores present in ``chunks``."""
-    from scrubsearch.operators.search import stop_buckets
+def write_index(chunks: DataFrame, path: str, mode: str = "errorifexists",
+                embed: Embedder = DEFAULT_EMBEDDER) -> Index:
+    """K1 (+K3): chunks with their vectors as one store-partitioned table.
 
+    ``mode='append'`` embeds and adds only chunks whose key is not there yet,
+    each once. ``'overwrite'`` replaces the stores present in ``chunks`` and
+    leaves the others; see ``drop_store`` for a store that lost all chunks."""
     spark = chunks.sparkSession
-    if mode == "overwrite":
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    chunks.write.mode(mode).partitionBy("store").parquet(f"{path}/chunks")
-    written = spark.read.schema(CHUNKS_SCHEMA).parquet(f"{path}/chunks")
-    postings(written).write.mode(mode).partitionBy("store").parquet(f"{path}/postings")
-    posts = spark.read.schema(POSTINGS_SCHEMA).parquet(f"{path}/postings")
-    stop_buckets(posts, max_df).write.mode("overwrite" if mode == "append" else mode).partitionBy("store").parquet(
-        f"{path}/stops")
+    if mode == "append" and index_complete(spark, path):
+        there = read_index(spark, path).chunks.select("store", "chunk_key")
+        chunks = chunks.join(there, ["store", "chunk_key"], "left_anti")
+    if mode == "append":
+        chunks = chunks.dropDuplicates(["store", "chunk_key"])
+    columns = [c.split()[0] for c in CHUNKS_SCHEMA.split(", ")]
+    # a dynamic overwrite leaves no marker: used only where there is one, else
+    # what a build that was cut off left behind goes
+    keep = "dynamic" if mode == "overwrite" and index_complete(spark, path) else "static"
+    (embed(chunks, "text").select(*columns).write.mode(mode).option("partitionOverwriteMode", keep)
+     .partitionBy("store").parquet(f"{path}/chunks"))
     return read_index(spark, path)
 
 
-# Declared schemas: an empty store (S5) or an empty stop list writes no
-# Parquet file, and must still read back as an empty table.
-CHUNKS_SCHEMA = "source string, doc_id long, chunk_no int, chunk_key string, text string, store string"
-POSTINGS_SCHEMA = "chunk_key string, bucket long, tf long, norm2 long, store string"
-STOPS_SCHEMA = "bucket long, store string"
-
-
 def read_index(spark: SparkSession, path: str, store: str | None = None) -> Index:
-    rd = lambda sub, schema: spark.read.schema(schema).parquet(f"{path}/{sub}")
-    idx = Index(rd("chunks", CHUNKS_SCHEMA), rd("postings", POSTINGS_SCHEMA), rd("stops", STOPS_SCHEMA))
+    idx = Index(spark.read.schema(CHUNKS_SCHEMA).parquet(f"{path}/chunks"))
     return idx.store(store) if store is not None else idx
 
 
-def open_or_build(spark: SparkSession, path: str, build, max_df: float = fixed.MAX_DF) -> Index:
-    """K2: load the index if it exists and never look at the sources again;
-    otherwise build it from ``build()`` (a chunks DataFrame) and persist it.
-    Rebuild = remove the folder, or call ``write_index(..., 'overwrite')``."""
-    if not path_exists(spark, f"{path}/chunks"):
-        return write_index(build(), path, "errorifexists", max_df)
+def index_complete(spark: SparkSession, path: str) -> bool:
+    """The committer writes its marker last: without it the build was cut off."""
+    return path_exists(spark, f"{path}/chunks/_SUCCESS")
+
+
+def drop_store(spark: SparkSession, path: str, store: str) -> None:
+    """Remove one store's chunks."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/chunks/store={store}")
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def open_or_build(spark: SparkSession, path: str, build, embed: Embedder = DEFAULT_EMBEDDER) -> Index:
+    """K2: load the index if it is complete and never look at the sources
+    again; otherwise build it from ``build()`` (a chunks DataFrame), also in
+    place of what a build that was cut off left behind."""
+    if not index_complete(spark, path):
+        return write_index(build(), path, "overwrite", embed)
     return read_index(spark, path)

@@ -1,12 +1,11 @@
 """Top-k retrieval and what is built from its result.
 
-* R2b ``topk_sparse``: posting-list equi-join on token bucket, partial sums
-  per (query, chunk), then a per-query top-k window (``WindowGroupLimit``
-  trims each partition before the shuffle). No cross join.
-* R2 ``topk_dense``: exact k-NN. The corpus streams through ``mapInPandas``
-  once per query block; a block is a broadcast numpy matrix whose byte size
-  is checked against a budget, so nothing unbounded is broadcast. Each Arrow
-  batch emits only its k best per query; a window keeps the global k best.
+* R2 ``topk_dense`` and R2b ``topk_sparse`` are exact and leave nothing out.
+  The query set is cut into hash blocks, the corpus into hash parts, and each
+  (block, part) pair meets in one task of bounded size (a cogroup). A task
+  emits the k best of its part per query; a window keeps the global k best.
+  Nothing passes through the driver, nothing is broadcast, and a token that
+  every chunk holds costs no more than any other.
 * R2a ``topk_lsh``: Euclidean LSH (K projections per table, L tables) as an
   equi-join on bucket keys, exact distances for the candidates, same window.
 """
@@ -16,13 +15,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scrubsearch.functions import fixed
-from scrubsearch.operators.embed import embed_sparse
+from scrubsearch.operators.embed import DEFAULT_EMBEDDER, Embedder
+from scrubsearch.session import ship_package
 
 
 def _rank_window(df: DataFrame, part: list[str], order, k: int, rank: str = "rank") -> DataFrame:
@@ -31,131 +31,174 @@ def _rank_window(df: DataFrame, part: list[str], order, k: int, rank: str = "ran
 
 
 # ---------------------------------------------------------------------------
-# Sparse top-k
+# Query blocks against corpus parts
 # ---------------------------------------------------------------------------
 
-def stop_buckets(postings: DataFrame, max_df: float = fixed.MAX_DF, store: str = "store") -> DataFrame:
-    """Buckets found in more than ``max_df`` of a store's chunks.
+def block_grid(queries: DataFrame, corpus: DataFrame, qid: str, cid: str, by: list[str],
+               query_rows: int, corpus_rows: int):
+    """Cogroup every query block with every corpus part (within ``by``).
+
+    Blocks and parts hold about ``query_rows`` and ``corpus_rows`` rows
+    whatever the table sizes, so a task's memory is fixed; larger tables give
+    more tasks. A query row is sent once per part, a corpus row once per block."""
+    blocks = max(1, math.ceil(queries.count() / query_rows))
+    parts = max(1, math.ceil(corpus.count() / corpus_rows))
+
+    def dealt(df, key, own, n_own, other, n_other):
+        return (df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n_own)).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))))
+
+    q = dealt(queries, qid, "_block", blocks, "_part", parts)
+    c = dealt(corpus, cid, "_part", parts, "_block", blocks)
+    keys = [*by, "_block", "_part"]
+    return q.groupBy(*keys).cogroup(c.groupBy(*keys))
 
-    Size bound: a store's bucket rows sum to its postings, so at most
-    postings / (max_df * chunks) = (mean distinct tokens per chunk) / max_df
-    buckets qualify. Chunks are at most a few hundred tokens long, so the
-    table stays below ~10^5 rows whatever the corpus size: safe to broadcast.
-    """
-    per_store = postings.groupBy(store).agg(F.countDistinct("chunk_key").alias("n_chunks"))
-    dfreq = postings.groupBy(store, "bucket").agg(F.count(F.lit(1)).alias("df"))
-    return (dfreq.join(F.broadcast(per_store), store)
-            .where(F.col("df") > F.lit(max_df) * F.col("n_chunks"))
-            .select(store, "bucket"))
-
-
-def topk_sparse(query_vec: DataFrame, chunk_vec: DataFrame, stops: DataFrame, k: int = fixed.TOP_K,
-                store: str = "store") -> DataFrame:
-    """query_vec (store, query_id, bucket, tf, norm2) x chunk_vec (store,
-    chunk_key, bucket, tf, norm2) -> (store, query_id, rank, chunk_key, score).
-
-    Stop buckets are dropped from both sides (broadcast anti-join), the
-    posting lists are equi-joined on (store, bucket), and the pairs are then
-    partitioned by query once: both the per-pair sum and the top-k window run
-    in that partitioning. Queries with no shared token get no row."""
-    stops = F.broadcast(stops)
-    c = chunk_vec.join(stops, [store, "bucket"], "left_anti").select(
-        store, "chunk_key", "bucket", F.col("tf").alias("tc"), F.col("norm2").alias("nc"))
-    # dropping stop buckets on the query side too keeps tokens every query
-    # shares (a third of all rows may carry one) out of the join shuffle
-    q = query_vec.join(stops, [store, "bucket"], "left_anti").select(
-        store, "query_id", "bucket", F.col("tf").alias("tq"), F.col("norm2").alias("nq"))
-    pairs = (q.join(c, [store, "bucket"])
-             .select(store, "query_id", "chunk_key", (F.col("tq") * F.col("tc")).alias("p"), "nq", "nc")
-             .repartition(store, "query_id")
-             .groupBy(store, "query_id", "chunk_key")
-             .agg(F.sum("p").alias("dot"), F.max("nq").alias("nq"), F.max("nc").alias("nc")))
-    scored = pairs.select(store, "query_id", "chunk_key",
-                          (F.col("dot") / F.sqrt((F.col("nq") * F.col("nc")).cast("double"))).alias("score"))
-    return _rank_window(scored, [store, "query_id"], [F.desc("score"), F.asc("chunk_key")], k)
 
+def _list_column(table: pa.Table, name: str):
+    """(flat values, row number of each value) of a list column."""
+    col = table[name].combine_chunks()
+    col = col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
+    sizes = col.value_lengths().to_numpy(zero_copy_only=False)
+    return col.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(col)), sizes)
 
-def search_sparse(queries: DataFrame, index, k: int = fixed.TOP_K, key_col: str = "key") -> DataFrame:
-    """Embed (store, query_id, <key_col>) queries with the default embedder
-    and run R2b against a persisted index (see operators.index.Index)."""
-    qv = embed_sparse(queries.select("store", "query_id", F.col(key_col).alias("text")), ["store", "query_id"])
-    return topk_sparse(qv, index.postings, index.stops, k)
+
+def _best_columns(score: np.ndarray, k: int):
+    """Per row the k largest scores, ties to the smaller column, best first."""
+    n = score.shape[1]
+    k = min(k, n)
+    kth = np.partition(score, n - k, axis=1)[:, n - k, None]
+    above, tie = score > kth, score == kth
+    take = above | (tie & (np.cumsum(tie, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+    return np.nonzero(take)[1].reshape(len(score), k)
+
+
+def _joined_schema(queries: DataFrame, corpus: DataFrame, by: list[str], qid: str, cid: str) -> T.StructType:
+    fields = [T.StructField(c, queries.schema[c].dataType) for c in by]
+    return T.StructType([*fields, T.StructField(qid, queries.schema[qid].dataType),
+                         T.StructField(cid, corpus.schema[cid].dataType), T.StructField("score", T.DoubleType())])
 
 
 # ---------------------------------------------------------------------------
-# R2: exact dense top-k
+# Sparse top-k
 # ---------------------------------------------------------------------------
 
-def _block_count(n_rows: int, dim: int, budget_bytes: int) -> int:
-    return max(1, math.ceil(n_rows * dim * 8 / budget_bytes))
+def topk_sparse(query_vec: DataFrame, chunk_vec: DataFrame, k: int = fixed.TOP_K, store: str = "store",
+                query_rows: int = 16384, chunk_rows: int = 1024) -> DataFrame:
+    """query_vec (store, query_id, buckets, tfs, norm2) x chunk_vec (store,
+    chunk_key, buckets, tfs, norm2) -> (store, query_id, rank, chunk_key, score).
+
+    Exact cosine of the token counts. Every query gets k rows if its store
+    has k chunks; chunks that share no token score 0. Ties go to the smaller
+    chunk_key."""
+    ship_package(chunk_vec.sparkSession)
+    cols = ["buckets", "tfs", "norm2"]
+    q, c = query_vec.select(store, "query_id", *cols), chunk_vec.select(store, "chunk_key", *cols)
+    schema = _joined_schema(q, c, [store], "query_id", "chunk_key")
+    scored = block_grid(q, c, "query_id", "chunk_key", [store], query_rows, chunk_rows).applyInArrow(
+        _sparse_block(k, [f.name for f in schema]), schema)
+    return _rank_window(scored, [store, "query_id"], [F.desc("score"), F.asc("chunk_key")], k)
+
+
+def _sparse_block(k: int, names: list[str], at_once: int = 256):
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
+        out = [q[names[0]].slice(0, 0), q[names[1]].slice(0, 0), c[names[2]].slice(0, 0), pa.chunked_array([], pa.float64())]
+        if not q.num_rows or not c.num_rows:
+            return pa.table(out, names=names)
+        c = c.sort_by(names[2])
+        (cb, c_row), (qb, q_row) = _list_column(c, "buckets"), _list_column(q, "buckets")
+        ct, qt = _list_column(c, "tfs")[0], _list_column(q, "tfs")[0]
+        cn, qn = c["norm2"].to_numpy().astype(float), q["norm2"].to_numpy().astype(float)
+        starts = np.searchsorted(q_row, np.arange(0, q.num_rows + at_once, at_once))
+        rows, picked, scores = [], [], []
+        for i, (lo, hi) in enumerate(zip(starts[:-1], starts[1:])):
+            first, last = i * at_once, min((i + 1) * at_once, q.num_rows)
+            shared = np.intersect1d(qb[lo:hi], cb)
+            dots = np.zeros((last - first, c.num_rows))
+            if len(shared):
+                # counts are integers: the product is exact in any order
+                left = np.zeros((last - first, len(shared)))
+                right = np.zeros((c.num_rows, len(shared)))
+                for mat, row, b, tf in ((left, q_row[lo:hi] - first, qb[lo:hi], qt[lo:hi]), (right, c_row, cb, ct)):
+                    at = np.minimum(np.searchsorted(shared, b), len(shared) - 1)
+                    hit = shared[at] == b
+                    mat[row[hit], at[hit]] = tf[hit]
+                dots = left @ right.T
+            score = dots / np.sqrt(np.maximum(qn[first:last, None] * cn[None, :], 1.0))
+            cols = _best_columns(score, k)
+            rows.append(np.repeat(np.arange(first, last), cols.shape[1]))
+            picked.append(cols.ravel())
+            scores.append(np.take_along_axis(score, cols, axis=1).ravel())
+        at, cols = np.concatenate(rows), np.concatenate(picked)
+        return pa.table([q[names[0]].take(at), q[names[1]].take(at), c[names[2]].take(cols),
+                         pa.array(np.concatenate(scores))], names=names)
+    return run
+
 
+def search_sparse(queries: DataFrame, index, k: int = fixed.TOP_K, key_col: str = "key",
+                  embed: Embedder = DEFAULT_EMBEDDER) -> DataFrame:
+    """Embed (store, query_id, <key_col>) queries and run R2b against a
+    persisted index (see operators.index.Index) built with the same embedder."""
+    qv = embed(queries.select("store", "query_id", F.col(key_col).alias("text")), "text")
+    return topk_sparse(qv, index.vectors, k)
+
+
+# ---------------------------------------------------------------------------
+# R2: exact dense top-k
+# ---------------------------------------------------------------------------
 
 def topk_dense(spark: SparkSession, queries: DataFrame, corpus: DataFrame, k: int = fixed.TOP_K,
                metric: str = "l2", qid: str = "query_id", cid: str = "vec_id", vec: str = "embedding",
-               block_bytes: int = 64 << 20, sub_block: int = 512) -> DataFrame:
+               block_rows: int = 8192, part_rows: int = 4096) -> DataFrame:
     """Exact k nearest corpus vectors per query.
 
     metric 'l2': squared Euclidean distance, nearest first.
     metric 'cosine': cosine similarity, largest first.
     Ties go to the smaller corpus id (deviation V7). Output:
-    (query_id, rank, vec_id, score).
+    (query_id, rank, vec_id, score); no queries or no corpus give no rows.
     """
-    stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("dim")).first()
-    n_q, dim = int(stats["n"]), int(stats["dim"] or 0)
-    out_schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()),
-                               T.StructField("score", T.DoubleType())])
-    if n_q == 0:
-        return spark.createDataFrame([], out_schema).withColumn("rank", F.lit(None).cast("long"))
-    n_blocks = _block_count(n_q, dim, block_bytes)
-    blocked = queries.select(F.col(qid).cast("long").alias("q"), F.col(vec).alias("v"),
-                             F.pmod(F.xxhash64(qid), F.lit(n_blocks)).alias("blk"))
-    corpus_sel = corpus.select(F.col(cid).cast("long").alias("c"), F.col(vec).alias("v"))
-    sc = spark.sparkContext
-    parts = []
-    for b in range(n_blocks):
-        # one bounded block (<= block_bytes) reaches the driver and is broadcast
-        blk = blocked.where(F.col("blk") == b).select("q", "v").toPandas()
-        if blk.empty:
-            continue
-        qmat = np.asarray(np.stack(blk["v"].to_numpy()), dtype=np.float64)
-        bc = sc.broadcast((blk["q"].to_numpy(dtype=np.int64), qmat))
-        parts.append(corpus_sel.mapInPandas(_dense_batch_fn(bc, k, metric, sub_block), out_schema))
-    cands = parts[0]
-    for p in parts[1:]:
-        cands = cands.unionByName(p)
+    ship_package(spark)
+    q = queries.select(F.col(qid).cast("long").alias("query_id"), F.col(vec).alias("v"))
+    c = corpus.select(F.col(cid).cast("long").alias("vec_id"), F.col(vec).alias("v"))
+    schema = _joined_schema(q, c, [], "query_id", "vec_id")
+    scored = block_grid(q, c, "query_id", "vec_id", [], block_rows, part_rows).applyInArrow(
+        _dense_block(k, metric), schema)
     order = [F.asc("score"), F.asc("vec_id")] if metric == "l2" else [F.desc("score"), F.asc("vec_id")]
-    return _rank_window(cands, ["query_id"], order, k)
-
-
-def _dense_batch_fn(bc, k: int, metric: str, sub_block: int):
-    def run(batches):
-        qids, qmat = bc.value
-        qn2 = np.einsum("ij,ij->i", qmat, qmat)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            cmat = np.asarray(np.stack(pdf["v"].to_numpy()), dtype=np.float64)
-            cids = pdf["c"].to_numpy(dtype=np.int64)
-            cn2 = np.einsum("ij,ij->i", cmat, cmat)
-            kk = min(k, len(cids))
-            rows_q, rows_c, rows_s = [], [], []
-            for s in range(0, len(qids), sub_block):
-                qm = qmat[s:s + sub_block]
-                dots = qm @ cmat.T
-                if metric == "l2":
-                    approx = qn2[s:s + sub_block, None] + cn2[None, :] - 2.0 * dots
-                    idx = np.argpartition(approx, kk - 1, axis=1)[:, :kk]
-                    diff = qm[:, None, :] - cmat[idx]
-                    score = np.einsum("ijk,ijk->ij", diff, diff)
-                else:
-                    sim = dots / np.sqrt(np.maximum(qn2[s:s + sub_block, None] * cn2[None, :], 1e-300))
-                    idx = np.argpartition(-sim, kk - 1, axis=1)[:, :kk]
-                    score = np.take_along_axis(sim, idx, axis=1)
-                rows_q.append(np.repeat(qids[s:s + sub_block], kk))
-                rows_c.append(cids[idx].ravel())
-                rows_s.append(score.ravel())
-            yield pd.DataFrame({"query_id": np.concatenate(rows_q), "vec_id": np.concatenate(rows_c),
-                                "score": np.concatenate(rows_s)})
+    return _rank_window(scored, ["query_id"], order, k)
+
+
+def _dense_block(k: int, metric: str, at_once: int = 128):
+    names = ["query_id", "vec_id", "score"]
+
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
+        if not q.num_rows or not c.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+        qids, cids = q["query_id"].to_numpy(), c["vec_id"].to_numpy()
+        qm, cm = (_list_column(t, "v")[0].astype(np.float64).reshape(t.num_rows, -1) for t in (q, c))
+        qn, cn = (np.einsum("ij,ij->i", m, m) for m in (qm, cm))
+        keep = min(k, len(cids))
+        out = []
+        for lo in range(0, len(qids), at_once):
+            part, n2 = qm[lo:lo + at_once], qn[lo:lo + at_once]
+            cost = part @ cm.T
+            if metric == "l2":
+                cost = n2[:, None] + cn[None, :] - 2.0 * cost
+                slack = 1e-9 * (n2 + cn.max())[:, None]
+            else:
+                cost = -cost / np.sqrt(np.maximum(n2[:, None] * cn[None, :], 1e-300))
+                slack = 1e-9
+            # all that rounding might put among the k best, then their exact scores
+            near = cost <= np.partition(cost, keep - 1, axis=1)[:, keep - 1, None] + slack
+            row, col = np.nonzero(near)
+            if metric == "l2":
+                score = ((part[row] - cm[col]) ** 2).sum(axis=1)
+                order = np.lexsort((cids[col], score, row))
+            else:
+                score = (part[row] * cm[col]).sum(axis=1) / np.sqrt(np.maximum(n2[row] * cn[col], 1e-300))
+                order = np.lexsort((cids[col], -score, row))
+            row, col, score = row[order], col[order], score[order]
+            best = np.arange(len(row)) - np.searchsorted(row, row) < keep
+            out.append((qids[lo + row[best]], cids[col[best]], score[best]))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out)], names=names)
     return run
 
 
@@ -192,7 +235,8 @@ def topk_lsh(queries: DataFrame, corpus: DataFrame, k: int = fixed.TOP_K, width:
     defaults reach recall 0.989 of the exact top-10 at sf0.1; narrower
     buckets (width 0.1) cut the candidates but drop recall to ~0.34.
     The random planes are a few literal vectors (tables x hashes x dim)."""
-    dim = len(queries.select(vec).first()[0])
+    first = queries.select(vec).where(F.col(vec).isNotNull()).first()
+    dim = len(first[0]) if first else 1  # no queries: no rows come out
     rng = np.random.default_rng(seed)
     planes = rng.normal(size=(num_tables, hashes_per_table, dim))
     planes /= np.linalg.norm(planes, axis=2, keepdims=True)

@@ -236,7 +236,7 @@ SLA_SEARCH_SQL = O.SLA_BASE + [O.QUESTIONS,
                                "qs AS (SELECT 'sla' AS store, query_id, text FROM questions)",
                                O.vectors("qv", "qs", ["store", "query_id"]),
                                O.vectors("cv", "sla_chunks", ["store", "chunk_key"]),
-                               O.sparse_topk("hits", "qv", "cv")]
+                               O.sparse_topk("hits", "qv", "cv", "qs", "sla_chunks")]
 
 
 @register("topk_sparse", O.with_(*SLA_SEARCH_SQL)
@@ -251,7 +251,7 @@ KB_SEARCH_SQL = O.KB_BASE + [O.MESSAGES,
                              "ms AS (SELECT 'kb' AS store, query_id, text FROM messages)",
                              O.vectors("qv", "ms", ["store", "query_id"]),
                              O.vectors("cv", "kb_chunks", ["store", "chunk_key"]),
-                             O.sparse_topk("hits", "qv", "cv")]
+                             O.sparse_topk("hits", "qv", "cv", "ms", "kb_chunks")]
 
 
 @register("search_snippets", O.with_(*KB_SEARCH_SQL) + """ SELECT h.query_id, h.rank,
@@ -269,7 +269,7 @@ BOTH_SQL = (O.SLA_BASE + O.KB_BASE + ALL_QUESTIONS_SQL[1:] + [
     "bq AS (SELECT s.store, a.query_id, a.text FROM allq a, (VALUES ('kb'), ('sla')) s(store))",
     O.vectors("qv", "bq", ["store", "query_id"]),
     O.vectors("cv", "chunks", ["store", "chunk_key"]),
-    O.sparse_topk("hits", "qv", "cv")])
+    O.sparse_topk("hits", "qv", "cv", "bq", "chunks")])
 
 
 def both_stores_hits(spark: SparkSession, d: str):
@@ -527,12 +527,37 @@ INDEX_SQL = O.SLA_BASE + O.KB_BASE + [
 @register("build_index", O.with_(*INDEX_SQL) + """ SELECT c.store, c.chunk_key, CAST(length(c.text) AS BIGINT) AS chunk_len,
   (SELECT count(*) FROM cv WHERE cv.chunk_key = c.chunk_key AND cv.store = c.store) AS n_postings FROM chunks c""")
 def build_index_q(spark: SparkSession, d: str) -> DataFrame:
-    index = build(spark, d)
-    chunks, posts = index.chunks, index.postings
-    n = posts.groupBy("store", "chunk_key").agg(F.count(F.lit(1)).alias("n_postings"))
-    return (chunks.join(n, ["store", "chunk_key"], "left")
-            .select("store", "chunk_key", F.length("text").cast("long").alias("chunk_len"),
-                    F.coalesce("n_postings", F.lit(0)).cast("long").alias("n_postings")))
+    return build(spark, d).table.select("store", "chunk_key", F.length("text").cast("long").alias("chunk_len"),
+                                        F.size("buckets").cast("long").alias("n_postings"))
+
+
+INDEX_STATE_SQL = """ SELECT c.store, count(*) AS n_chunks, count(DISTINCT c.chunk_key) AS n_keys,
+  CAST(sum((SELECT count(*) FROM cv WHERE cv.chunk_key = c.chunk_key AND cv.store = c.store)) AS BIGINT) AS n_postings
+  FROM chunks c GROUP BY c.store"""
+
+
+def _index_state(index: IX.Index) -> DataFrame:
+    return index.table.groupBy("store").agg(
+        F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("chunk_key").alias("n_keys"),
+        F.sum(F.size("buckets")).cast("long").alias("n_postings"))
+
+
+@register("index_append", O.with_(*INDEX_SQL) + INDEX_STATE_SQL)
+def index_append_q(spark: SparkSession, d: str) -> DataFrame:
+    """K3: both stores added to an index that has one of them, then again."""
+    path = scratch_dir(spark, "index")
+    IX.write_index(kb_chunks(spark, d), path)
+    for _ in range(2):
+        index = IX.write_index(kb_chunks(spark, d).unionByName(sla_chunks(spark, d)), path, "append")
+    return _index_state(index)
+
+
+@register("index_reuse", O.with_(*INDEX_SQL[:-2], "chunks AS (SELECT * FROM kb_chunks)", INDEX_SQL[-1]) + INDEX_STATE_SQL)
+def index_reuse_q(spark: SparkSession, d: str) -> DataFrame:
+    """K2: the second opening finds the index and never asks for the tickets."""
+    path = scratch_dir(spark, "index")
+    IX.open_or_build(spark, path, lambda: kb_chunks(spark, d))
+    return _index_state(IX.open_or_build(spark, path, lambda: sla_chunks(spark, d)))
 
 
 @register("index_roundtrip", O.with_(*INDEX_SQL) + """ SELECT store, count(*) AS n_chunks,

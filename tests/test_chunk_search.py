@@ -56,7 +56,7 @@ def test_dense_topk_equals_numpy(spark, sf_small):
     ids = np.array(sorted(mat))
     m = np.stack([mat[i] for i in ids])
     queries = e.where(F.col("vec_id") < 25).withColumnRenamed("vec_id", "query_id")
-    got = S.topk_dense(spark, queries, e, k=5, metric="l2", block_bytes=4096).collect()
+    got = S.topk_dense(spark, queries, e, k=5, metric="l2", block_rows=10, part_rows=30).collect()
     res = {}
     for r in got:
         res.setdefault(r.query_id, []).append((r.rank, r.vec_id))
@@ -66,38 +66,112 @@ def test_dense_topk_equals_numpy(spark, sf_small):
         assert [v for _, v in sorted(lst)] == want
 
 
-def test_sparse_topk_equals_brute_force(spark):
-    chunks = spark.createDataFrame(
-        [("kb", f"k{i}", t) for i, t in enumerate(["apple pie recipe", "apple tart", "banana bread", "pie crust apple apple",
-                                                  "cherry pie", "the the the"])],
-        "store string, chunk_key string, text string")
-    path = scratch_dir(spark, "test-index")
-    index = IX.write_index(chunks.select("store", F.lit("s").alias("source"), F.lit(0).cast("long").alias("doc_id"),
-                                         F.lit(0).alias("chunk_no"), "chunk_key", "text"), path, max_df=0.99)
-    queries = spark.createDataFrame([("kb", 1, "apple pie"), ("kb", 2, "bread"), ("kb", 3, "zzz")],
-                                    "store string, query_id int, key string")
-    hits = S.search_sparse(queries, index, k=2).collect()
-    got = {(r.query_id, r.rank): r.chunk_key for r in hits}
-    texts = {r.chunk_key: r.text for r in chunks.collect()}
+CHUNKS = "store string, source string, doc_id long, chunk_no int, chunk_key string, text string"
+
+
+def _index(spark, texts, name="test-index"):
+    rows = [("kb", "s", i, 0, f"k{i:03d}", t) for i, t in enumerate(texts)]
+    path = scratch_dir(spark, name)
+    return IX.write_index(spark.createDataFrame(rows, CHUNKS), path), path
 
+
+def _brute(texts, query, k):
     def vec(t):
-        toks = [w for w in re.split("[^a-z0-9]+", t.lower()) if len(w) >= 2]
-        return Counter(toks)
-
-    want = {}
-    for qid, qtext in [(1, "apple pie"), (2, "bread"), (3, "zzz")]:
-        qv = vec(qtext)
-        scored = []
-        for key, t in texts.items():
-            cv = vec(t)
-            dot = sum(qv[w] * cv[w] for w in qv)
-            if dot:
-                nq, nc = sum(v * v for v in qv.values()), sum(v * v for v in cv.values())
-                scored.append((-dot / math.sqrt(nq * nc), key))
-        for rank, (_, key) in enumerate(sorted(scored)[:2], 1):
-            want[(qid, rank)] = key
-    assert got == want
-    assert want[(1, 1)] == "k3" and not any(r.query_id == 3 for r in hits)  # nothing shared: fewer than k rows
+        return Counter(re.findall(r"[\u3040-\u30ff\u3400-\u9fff]|[^\W_\u3040-\u30ff\u3400-\u9fff]+", (t or "").lower()))
+
+    qv, scored = vec(query), []
+    for i, t in enumerate(texts):
+        cv = vec(t)
+        norms = sum(v * v for v in qv.values()) * sum(v * v for v in cv.values())
+        scored.append((-sum(n * cv[w] for w, n in qv.items()) / math.sqrt(max(norms, 1)), f"k{i:03d}"))
+    return [key for _, key in sorted(scored)[:k]]
+
+
+SEARCH_TEXTS = ["apple pie recipe", "apple tart", "banana bread", "pie crust apple apple", "cherry pie", "the the the",
+                "", None, "\u043f\u0440\u0438\u0432\u0435\u0442 \u041c\u0418\u0420", "\u6771\u4eac\u306e\u5929\u6c17", "gr\u00fc\u00dfe aus k\u00f6ln", "x 7"]
+
+
+def test_sparse_topk_equals_brute_force(spark):
+    """Small stores fill k; any script, single characters and words of every chunk count."""
+    asked = ["apple pie", "bread", "zzz", "", "\u043c\u0438\u0440", "\u5929\u6c17", "K\u00d6LN", "7", "the"]
+    for n in (1, 10, 49):
+        texts = [SEARCH_TEXTS[-1 - i % len(SEARCH_TEXTS)] for i in range(n)]
+        index, _ = _index(spark, texts)
+        queries = spark.createDataFrame([("kb", i, t) for i, t in enumerate(asked)], "store string, query_id int, key string")
+        got = {}
+        for r in S.search_sparse(queries, index, k=10).collect():
+            got.setdefault(r.query_id, []).append((r.rank, r.chunk_key))
+        for i, t in enumerate(asked):
+            assert [key for _, key in sorted(got[i])] == _brute(texts, t, 10), (n, t)
+
+
+def test_sparse_blocks_do_not_change_results(spark):
+    index, _ = _index(spark, SEARCH_TEXTS * 9)
+    q = IX.DEFAULT_EMBEDDER(spark.createDataFrame([("kb", i, t) for i, t in enumerate(SEARCH_TEXTS)],
+                                                  "store string, query_id int, text string"), "text")
+    whole = S.topk_sparse(q, index.vectors).collect()
+    cut = S.topk_sparse(q, index.vectors, query_rows=3, chunk_rows=7).collect()
+    assert sorted(whole) == sorted(cut) and len(whole) == 10 * len(SEARCH_TEXTS)
+
+
+def test_search_of_empty_sides(spark):
+    index, _ = _index(spark, ["a b"])
+    none = spark.createDataFrame([], "store string, query_id int, key string")
+    assert S.search_sparse(none, index).count() == 0
+    empty, _ = _index(spark, [])
+    one = spark.createDataFrame([("kb", 1, "a")], "store string, query_id int, key string")
+    assert S.search_sparse(one, empty).count() == 0
+    vecs = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    no_q = vecs.limit(0).withColumnRenamed("vec_id", "query_id")
+    for metric in ("l2", "cosine"):
+        assert S.topk_dense(spark, no_q, vecs, metric=metric).count() == 0
+        assert S.topk_dense(spark, vecs.withColumnRenamed("vec_id", "query_id"), vecs.limit(0), metric=metric).count() == 0
+    assert S.topk_lsh(no_q, vecs).count() == 0
+
+
+def test_dense_ties_take_the_smaller_ids(spark):
+    vecs = spark.range(3000).selectExpr("id as vec_id", "array(0.1D, 0.7D, 0.3D) as embedding")
+    q = vecs.where("vec_id < 2").withColumnRenamed("vec_id", "query_id")
+    for metric in ("l2", "cosine"):
+        got = S.topk_dense(spark, q, vecs, metric=metric, part_rows=500).collect()
+        assert sorted(r.vec_id for r in got if r.query_id == 0) == list(range(10))
+
+
+def test_append_adds_only_new_keys(spark):
+    index, path = _index(spark, ["a b", "c"])
+    more = spark.createDataFrame([("kb", "s", i, 0, f"k{i:03d}", t) for i, t in enumerate(["a b", "c", "d e f"])], CHUNKS)
+    again = IX.write_index(more.unionByName(more), path, "append")
+    assert sorted(r.chunk_key for r in again.chunks.collect()) == ["k000", "k001", "k002"]
+    assert again.postings.count() == 6
+
+
+def test_overwrite_leaves_other_stores(spark):
+    rows = [("kb", "s", 0, 0, "a", "x"), ("sla", "s", 0, 0, "b", "y")]
+    path = scratch_dir(spark, "ow")
+    IX.write_index(spark.createDataFrame(rows, CHUNKS), path)
+    IX.write_index(spark.createDataFrame([("kb", "s", 1, 0, "c", "z")], CHUNKS), path, "overwrite")
+    assert sorted(r.chunk_key for r in IX.read_index(spark, path).chunks.collect()) == ["b", "c"]
+    IX.drop_store(spark, path, "sla")
+    assert [r.chunk_key for r in IX.read_index(spark, path).chunks.collect()] == ["c"]
+
+
+def test_build_that_was_cut_off_is_built_anew(spark):
+    rows = spark.createDataFrame([("kb", "s", 0, 0, "a", "x")], CHUNKS)
+    path = scratch_dir(spark, "cut")
+    rows.drop("text").write.partitionBy("store").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(
+        f"{path}/chunks")
+    assert IX.open_or_build(spark, path, lambda: rows).chunks.collect()[0].text == "x"
+    assert IX.open_or_build(spark, path, lambda: rows.limit(0)).chunks.count() == 1
+
+
+def test_windows_equal_slices(spark):
+    text = "".join(chr(97 + i % 26) if i % 7 else "\U0001f600\n"[i % 2] for i in range(2311))
+    for size, overlap in ((100, 20), (100, 60), (100, 90), (50, 0), (4000, 100)):
+        for t in (text, text[:overlap], text[:overlap + 1], text[:size], text[:size + 1], "a"):
+            df = spark.createDataFrame([(0, t)], "doc_id int, text string")
+            got = [r.chunk for r in CH.chunk_fixed(df, size, overlap, keep=["doc_id"]).orderBy("chunk_no").collect()]
+            starts = range(0, max(len(t) - overlap - 1, 0) + 1, size - overlap)
+            assert got == [t[i:i + size] for i in starts if t], (size, overlap, len(t))
 
 
 def test_open_or_build_loads_existing(spark):
@@ -118,7 +192,7 @@ def test_open_or_build_loads_existing(spark):
 def test_embed_counts(spark):
     df = spark.createDataFrame([(1, "Ab ab bc! BC-bc x")], "id int, text string")
     rows = sorted((r.tf, r.norm2) for r in embed_sparse(df, "id").collect())
-    assert rows == [(2, 13), (3, 13)]  # "x" is shorter than the minimum token length
+    assert rows == [(1, 14), (2, 14), (3, 14)]
 
 
 def test_lsh_recall(spark, sf_small):
