@@ -145,8 +145,8 @@ def replace_matches(text: str, pattern: str, fill_m: str) -> str:
 
 def unmask(text: str, ids: str) -> str:
     pat = q(fixed.MASK_NUMBER)
-    return (f"array_to_string(list_transform(string_split_regex({text}, {pat}), lambda x, i: x || "
-            f"coalesce({ids}[CAST(regexp_extract_all({text}, {pat}, 1)[i] AS INTEGER) + 1], '')), '')")
+    return (f"array_to_string(list_transform(list_zip(string_split_regex({text}, {pat}), regexp_extract_all({text}, {pat}, 1)), "
+            f"lambda x: x[1] || coalesce({ids}[CAST(x[2] AS INTEGER) + 1], '')), '')")
 
 
 def luhn(col: str) -> str:
@@ -289,21 +289,24 @@ def pipeline(profile: str, restore_on: bool = True) -> list[str]:
         anonymize("ac", "ctx", "query_id", "context", scope="C"),
         anonymize("aq", "ctx", "query_id", "text", scope="Q"),
         """maps AS (
-  SELECT id, list({'ph': ph, 'original': original} ORDER BY grp, n) AS pairs FROM (
-    SELECT id, 1 AS grp, n, ph, original FROM ac_map UNION ALL
-    SELECT id, 2, n, ph, original FROM aq_map UNION ALL
-    SELECT id, 3, n, ph, original FROM ac_pres UNION ALL
-    SELECT id, 4, n, ph, original FROM aq_pres) GROUP BY id)""",
+  SELECT id, ph, original FROM ac_map UNION ALL SELECT id, ph, original FROM aq_map UNION ALL
+  SELECT id, ph, original FROM ac_pres UNION ALL SELECT id, ph, original FROM aq_pres)""",
         f"""prompts AS (
   SELECT ctx.query_id, ctx.ticket_id, ctx.context, {prompt(profile, 'ac.anon', 'aq.anon')} AS prompt
   FROM ctx JOIN ac_out ac ON ctx.query_id = ac.id JOIN aq_out aq ON ctx.query_id = aq.id)""",
         "responses AS (SELECT query_id, prompt AS response FROM prompts)",
     ]
-    restored = (f"CASE WHEN r.response IS NULL THEN r.response ELSE "
-                f"{restore('r.response', 'coalesce(m.pairs, [])')} END") if restore_on else "r.response"
+    pat = q(fixed.PLACEHOLDER)
+    ctes.append(f"""cut AS (
+  SELECT query_id, generate_subscripts(pp, 1) AS i, unnest(pp) AS p, unnest(mm) AS m
+  FROM (SELECT query_id, string_split_regex(response, {pat}) AS pp, regexp_extract_all(response, {pat}) AS mm FROM responses)),
+joined AS (
+  SELECT c.query_id, string_agg(c.p || coalesce(m.original, c.m, ''), '' ORDER BY c.i) AS restored
+  FROM cut c LEFT JOIN maps m ON c.query_id = m.id AND c.m = m.ph GROUP BY c.query_id)""")
+    restored = "j.restored" if restore_on else "r.response"
     ctes.append(f"""answered AS (
   SELECT p.query_id, p.ticket_id, p.context, p.prompt, r.response, {restored} AS restored
-  FROM prompts p LEFT JOIN responses r ON p.query_id = r.query_id LEFT JOIN maps m ON p.query_id = m.id)""")
+  FROM prompts p LEFT JOIN responses r ON p.query_id = r.query_id LEFT JOIN joined j ON p.query_id = j.query_id)""")
     fin = "restored"
     if profile == "sla":
         fin = (f"CASE WHEN ticket_id IS NOT NULL AND NOT contains(coalesce(restored, ''), ticket_id) "
