@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrubsearch.llm.common import WORD_RE, as_text, map_rows, mix64
+from scrubsearch.llm.common import as_text, map_rows, mix64
 
 # n-gram length -> largest share of word characters inside repeated n-grams.
 COVERAGE_LIMITS = {2: 0.9, 4: 0.6, 6: 0.5, 10: 0.4}
@@ -22,7 +22,10 @@ SYMBOL_LIMIT = 0.1         # symbols per word
 MIN_WORDS = 50
 REPEAT_PERCENT = 50        # of words inside repeated 3-word windows
 SYMBOLS = "#*$%&|<>"       # fixed
-_SYMBOL_TABLE = {ord(c): None for c in SYMBOLS}
+CHARS_TOGETHER = 1 << 20   # of short texts that are measured in one go
+_BLANKS = " \t\x0b\x0c\r"  # fixed: white space inside a line
+_SYMBOL_BYTE = np.isin(np.arange(256), [ord(c) for c in SYMBOLS])
+_BLANK_BYTE = np.isin(np.arange(256), [ord(c) for c in _BLANKS + "\n"])
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
@@ -61,55 +64,96 @@ def window_hashes(ids: np.ndarray, n: int) -> np.ndarray:
     return mix64(out)
 
 
-def repeated_mask(ids: np.ndarray, n: int) -> np.ndarray:
-    """Which words lie in an n-word window that occurs twice or more in the text."""
+def repeated_mask(ids: np.ndarray, n: int, text: np.ndarray | None = None) -> np.ndarray:
+    """Which words lie in an n-word window that occurs twice or more in the text.
+
+    ``text`` numbers the text of each word where ``ids`` holds several texts, one
+    after the other; a window lies in one text, and counts within it.
+    """
+    text = np.zeros(len(ids), np.int64) if text is None else text
     hashes = window_hashes(ids, n)
+    starts = np.flatnonzero(text[: len(hashes)] == text[n - 1:]) if len(hashes) else np.empty(0, np.int64)
     covered = np.zeros(len(ids) + 1, np.int32)
-    if len(hashes) > 1:
+    if len(starts) > 1:
+        hashes, of = hashes[starts] ^ mix64(text[starts].astype(np.uint64) + np.uint64(1)), text[starts]
         order = np.argsort(hashes, kind="stable")
-        ranked = hashes[order]
-        same = ranked[1:] == ranked[:-1]
-        twice = np.zeros(len(hashes), bool)
+        same = (hashes[order[1:]] == hashes[order[:-1]]) & (of[order[1:]] == of[order[:-1]])
+        twice = np.zeros(len(starts), bool)
         twice[order[1:][same]] = True
         twice[order[:-1][same]] = True
-        starts = np.flatnonzero(twice)
         # starts are distinct, and so are their ends
-        covered[starts] += 1
-        covered[starts + n] -= 1
+        covered[starts[twice]] += 1
+        covered[starts[twice] + n] -= 1
     return np.cumsum(covered[:-1]) > 0
 
 
-def measure(text: str) -> dict:
-    """All figures of one text. The empty text has zero words and fails."""
-    words = WORD_RE.findall(text)
-    ids = pd.factorize(np.array(words, dtype=object))[0] if words else np.empty(0, np.int64)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    chars = int(lengths.sum())
-    n_symbols = len(text) - len(text.translate(_SYMBOL_TABLE))
-
-    lines = text.split("\n")
+def duplicate_lines(text: str) -> tuple[int, int]:
+    """Lines with a word that are equal to an earlier one, and their word characters."""
     seen: set[str] = set()
-    dup_lines = dup_chars = 0
-    for line in lines:
+    lines = chars = 0
+    for line in text.split("\n"):
         if line in seen:
-            dup_lines += 1
-            dup_chars += sum(map(len, WORD_RE.findall(line)))
-        elif WORD_RE.search(line):
+            lines += 1
+            chars += len(line) - sum(map(line.count, _BLANKS))
+        elif line.strip(_BLANKS):
             seen.add(line)
+    return lines, chars
 
-    repeat = int(repeated_mask(ids, 3).sum())
-    share = {n: float(lengths[repeated_mask(ids, n)].sum()) / chars if chars else 0.0
-             for n in COVERAGE_LIMITS}
-    line_share = dup_chars / chars if chars else 0.0
-    failed = len(words) < MIN_WORDS or 100 * repeat > REPEAT_PERCENT * len(words)
-    good = (all(share[n] <= most for n, most in COVERAGE_LIMITS.items())
-            and line_share <= LINE_LIMIT and n_symbols <= SYMBOL_LIMIT * len(words))
-    return {
-        "n_words": len(words), "word_chars": chars, "n_symbols": n_symbols,
+
+def measure(text: str) -> dict:
+    """All figures of one text."""
+    return measure_all([text]).iloc[0].to_dict()
+
+
+def measure_all(texts: list[str]) -> pd.DataFrame:
+    """All figures of some texts. The empty text has zero words and fails."""
+    parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+    joined = b"\n".join([*parts, b""])
+    raw = np.frombuffer(joined, np.uint8)
+    ends = np.cumsum([len(p) + 1 for p in parts])           # of the texts, in bytes
+    blank = _BLANK_BYTE[raw]
+    first = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+    after = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1     # joined ends in a blank
+    before = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # code points before a byte
+    lengths = before[after] - before[first]
+    words = joined.split()  # bytes split at just the ASCII white space
+    ids = pd.factorize(np.array(words, dtype=object))[0] if words else np.empty(0, np.int64)
+    text = np.searchsorted(ends, first, side="right")
+    k = len(texts)
+
+    def per_text(weights: np.ndarray) -> np.ndarray:
+        return np.bincount(text, weights, k).astype(np.int64)
+
+    n_words, chars, repeat = np.bincount(text, minlength=k), per_text(lengths), per_text(repeated_mask(ids, 3, text))
+    symbols = np.concatenate([[0], np.cumsum(_SYMBOL_BYTE[raw])])[ends]
+    n_symbols = np.diff(symbols, prepend=0)
+    dup_lines, dup_chars = np.array([duplicate_lines(t) for t in texts], np.int64).T
+    some = np.maximum(chars, 1)  # without characters every share is 0
+    share = {n: per_text(lengths * repeated_mask(ids, n, text)) / some for n in COVERAGE_LIMITS}
+    line_share = dup_chars / some
+    failed = (n_words < MIN_WORDS) | (100 * repeat > REPEAT_PERCENT * n_words)
+    good = (line_share <= LINE_LIMIT) & (n_symbols <= SYMBOL_LIMIT * n_words)
+    for n, most in COVERAGE_LIMITS.items():
+        good &= share[n] <= most
+    return pd.DataFrame({
+        "n_words": n_words, "word_chars": chars, "n_symbols": n_symbols,
         "n_dup_lines": dup_lines, "n_repeat_words": repeat, "base_failed": failed,
-        "kept": not failed and good, "line_coverage": line_share,
+        "kept": ~failed & good, "line_coverage": line_share,
         **{f"coverage_{n}": share[n] for n in COVERAGE_LIMITS},
-    }
+    })
+
+
+def together(texts: list[str], chars: int = CHARS_TOGETHER):
+    """Runs of neighbouring texts of about ``chars`` characters; a longer text is a run of its own."""
+    run, size = [], 0
+    for t in texts:
+        if run and size + len(t) > chars:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t)
+    if run:
+        yield run
 
 
 def repetition_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -121,7 +165,8 @@ def repetition_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
 
     def score(frame: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame([measure(as_text(t)) for t in frame["text"]])
+        runs = together([as_text(t) for t in frame["text"]])
+        out = pd.concat([measure_all(run) for run in runs], ignore_index=True)
         out.insert(0, "doc_id", frame["doc_id"].astype("Int64"))
         return out
 
