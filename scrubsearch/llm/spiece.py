@@ -23,6 +23,7 @@ each and their ids are remembered in a table of bounded size.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ from scrubsearch.llm.common import as_text, map_rows
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-_WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+_WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 CACHE_WORDS = 200_000      # of a generation; two are kept
 CACHE_PAIRS = 250_000
 OTHER = -1
@@ -79,13 +80,9 @@ class Pieces:
             self.raw[i] = bytes([b])
         self.longest = max(map(len, self.id))
         self.length = [len(p) for p in self.text]
-        # Pieces by their characters from the last to the first; "" holds the id.
-        self.by_end: dict = {}
-        for p, i in self.id.items():
-            node = self.by_end
-            for c in reversed(p):
-                node = node.setdefault(c, {})
-            node[""] = i
+        self.prefixes = {p[:k] for p in self.id for k in range(len(p) + 1)}
+        self.states: dict[str, list] = {}
+        self.begin = self.state("")
         if any(c not in self.id for p in self.id for c in p):
             raise ValueError("a piece has a character that is no piece")
         if len(self.byte) != 256:
@@ -93,7 +90,29 @@ class Pieces:
         if any(SPACE in p.lstrip(SPACE) for p in self.id):
             raise ValueError("a piece has the space mark inside; words can't be encoded alone")
         self.pairs = Remembered(CACHE_PAIRS)   # left * pieces + right -> whether they may be neighbours
-        self.words = Remembered(CACHE_WORDS)   # word -> its ids as int32 bytes
+        self.words = Remembered(CACHE_WORDS)   # word without its first mark -> its ids as int32 bytes
+
+    def state(self, tail: str) -> list:
+        """The state after ``tail``: where each character leads, and the pieces that end here.
+
+        ``tail`` is the longest end of the text that begins a piece. The pieces
+        are (length, id), the longest first. States are made when they are met;
+        there are no more than beginnings of pieces.
+        """
+        if tail not in self.states:
+            ends = [(len(tail) - k, self.id[tail[k:]]) for k in range(len(tail)) if tail[k:] in self.id]
+            self.states[tail] = [{}, ends, tail]
+        return self.states[tail]
+
+    def step(self, state: list, char: str) -> list:
+        """The state that ``char`` leads to; remembered for the characters of pieces."""
+        tail = state[2] + char
+        while tail not in self.prefixes:
+            tail = tail[1:]
+        after = self.state(tail)
+        if char in self.id:
+            state[0][char] = after
+        return after
 
     def merge(self, text: str) -> list[str]:
         """Greedy merging of a short string: best score first, then leftmost."""
@@ -132,26 +151,23 @@ def viterbi(text: str, pieces: Pieces, on_commit=None) -> list[int]:
     ids: list[int] = []
     longest, length = pieces.longest, pieces.length
     start, last = 0, [OTHER]  # last[k]: last piece of the prefix that ends at start + k
-    tree, pairs, n_pieces = pieces.by_end, pieces.pairs, len(pieces.text)
-    for end in range(1, len(text) + 1):
-        node, at, found = tree, end - 1, OTHER
-        while at >= start:
-            node = node.get(text[at])
-            if node is None:
-                break
-            piece = node.get("")
-            if piece is not None:
-                left = last[at - start]
+    state, pairs, n_pieces, size = pieces.begin, pieces.pairs, len(pieces.text), len(text)
+    full = start + 2 * longest  # the end of the window at which paths are followed
+    for end, char in enumerate(text, 1):
+        state, found = state[0].get(char) or pieces.step(state, char), OTHER
+        for n, piece in state[1]:
+            at = end - n - start
+            if at >= 0:
+                left = last[at]
                 known = pairs.young.get(left * n_pieces + piece)
                 if known or (known is None and pieces.allowed(left, piece)):
                     found = piece
                     break
-            at -= 1
         last.append(found)
-        if end - start >= 2 * longest or end == len(text):
+        if end >= full or end == size:
             # Follow the paths of all positions that a later piece can start
             # from, until they share one boundary.
-            live = {end} if end == len(text) else set(range(end - longest + 1, end + 1))
+            live = {end} if end == size else set(range(end - longest + 1, end + 1))
             while len(live) > 1:
                 far = max(live)
                 live.remove(far)
@@ -173,6 +189,7 @@ def viterbi(text: str, pieces: Pieces, on_commit=None) -> list[int]:
                         ids.append(piece)
                 last = last[boundary - start:]
                 start = boundary
+                full = start + 2 * longest
                 if on_commit:
                     on_commit(boundary, len(last))
     return ids
@@ -182,18 +199,20 @@ def encode(text: str, pieces: Pieces) -> np.ndarray:
     """Ids of a text: a space mark in front, spaces as marks, then ``viterbi``."""
     if not text:
         return np.empty(0, np.int32)
-    cache, out = pieces.words, []
-    young = cache.young.get
-    for word in _WORD.findall(SPACE + text.replace(" ", SPACE)):
-        ids = young(word)
+    cache = pieces.words  # by the word without its first mark
+    if text[0] == " " or "  " in text or SPACE in text:  # marks that stand together
+        words = [w[1:] for w in _WORD.findall(SPACE + text.replace(" ", SPACE))]
+    else:
+        words = text.split(" ")
+    out = list(map(cache.young.get, words))
+    for k in [k for k, ids in enumerate(out) if ids is None]:
+        word = words[k]
+        ids = cache.get(word)
         if ids is None:
-            ids = cache.get(word)
-            if ids is None:
-                ids = np.array(viterbi(word, pieces), np.int32).tobytes()
-                if len(word) <= CACHE_WORD_CHARS:
-                    cache.put(word, ids)
-            young = cache.young.get
-        out.append(ids)
+            ids = array("i", viterbi(SPACE + word, pieces)).tobytes()
+            if len(word) <= CACHE_WORD_CHARS:
+                cache.put(word, ids)
+        out[k] = ids
     return np.frombuffer(b"".join(out), np.int32)
 
 
