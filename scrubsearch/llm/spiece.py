@@ -37,6 +37,7 @@ SPACE = "▁"
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 CACHE_WORDS = 200_000      # of a generation; two are kept
 CACHE_PAIRS = 250_000
+CACHE_STEPS = 400_000
 OTHER = -1
 CACHE_WORD_CHARS = 64
 
@@ -81,8 +82,7 @@ class Pieces:
         self.longest = max(map(len, self.id))
         self.length = [len(p) for p in self.text]
         self.prefixes = {p[:k] for p in self.id for k in range(len(p) + 1)}
-        self.states: dict[str, list] = {}
-        self.begin = self.state("")
+        self.forget()
         if any(c not in self.id for p in self.id for c in p):
             raise ValueError("a piece has a character that is no piece")
         if len(self.byte) != 256:
@@ -92,6 +92,12 @@ class Pieces:
         self.pairs = Remembered(CACHE_PAIRS)   # left * pieces + right -> whether they may be neighbours
         self.words = Remembered(CACHE_WORDS)   # word without its first mark -> its ids as int32 bytes
 
+    def forget(self) -> None:
+        """Start the states anew; those still in use go on working."""
+        self.states: dict[str, list] = {}
+        self.steps = 0
+        self.begin = self.state("")
+
     def state(self, tail: str) -> list:
         """The state after ``tail``: where each character leads, and the pieces that end here.
 
@@ -105,13 +111,14 @@ class Pieces:
         return self.states[tail]
 
     def step(self, state: list, char: str) -> list:
-        """The state that ``char`` leads to; remembered for the characters of pieces."""
+        """The state that ``char`` leads to; up to CACHE_STEPS of them are remembered."""
         tail = state[2] + char
         while tail not in self.prefixes:
             tail = tail[1:]
-        after = self.state(tail)
-        if char in self.id:
-            state[0][char] = after
+        if self.steps >= CACHE_STEPS:
+            self.forget()
+        state[0][char] = after = self.state(tail)
+        self.steps += 1
         return after
 
     def merge(self, text: str) -> list[str]:
