@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from scrubsearch.llm.common import as_text, cut, fresh, lookup
 
 UNKNOWN = "und"
-SAMPLE_ROWS = 8_000       # tagged rows to learn trigrams from, about
+SAMPLE_ROWS = 8_000       # tagged rows to learn trigrams from, about, dealt among the tags
 SAMPLE_CHARS = 4_000      # of the text of each of them
-MIN_LANG_ROWS = 5         # a tag on fewer sampled rows is no language of the model
+MIN_LANG_ROWS = 5         # a tag on fewer rows of the whole table is no language of the model
 BUCKETS = 1 << 15
 ALPHA = 0.05              # pseudo-count of a trigram bucket
 TEMPER = 0.3              # weight of a trigram's log likelihood
@@ -85,28 +85,46 @@ def primary_tag(tag: Column) -> Column:
     return F.when(tag != "", tag)
 
 
+def _quotas(sizes: dict[str, int], rows: int) -> dict[str, int]:
+    """About ``rows`` dealt to tags that have ``sizes`` texts; what small tags leave goes to larger ones."""
+    out: dict[str, int] = {}
+    for k, (tag, n) in enumerate(sorted(sizes.items(), key=lambda s: (s[1], s[0]))):
+        out[tag] = min(n, max(MIN_LANG_ROWS, rows // (len(sizes) - k)))
+        rows = max(0, rows - out[tag])
+    return out
+
+
 def train_text_model(df: DataFrame, text: str, tag: str, rows: int = SAMPLE_ROWS,
                      chars: int = SAMPLE_CHARS) -> TextModel:
-    """Trigram tables of the languages declared on a sample of about ``rows`` rows.
+    """Trigram tables of the languages declared on ``MIN_LANG_ROWS`` rows of the whole table.
 
-    The sample is chosen by a hash of the text, so reruns agree. Without any
-    tagged row only UNKNOWN is left.
+    Every such tag gets its share of a sample of about ``rows`` texts, or all
+    its texts if they are fewer, so which languages exist does not depend on
+    the size of the table. Texts are chosen by a hash, so reruns agree; copies
+    of a text under one tag are learned once. Without any tagged row only
+    UNKNOWN is left.
     """
+    cells = 1 << 40
     tagged = df.select(primary_tag(F.col(tag)).alias("tag"), F.col(text).alias("text")).where(
-        F.col("tag").isNotNull() & (F.length("text") > 0))
-    n = df.count()
-    share = min(1.0, rows / max(1, n))
-    cells = 1 << 30
-    picked = (tagged.where(F.pmod(F.xxhash64("text"), F.lit(cells)) < int(share * cells))
-              .select("tag", F.substring("text", 1, chars).alias("text")).limit(2 * rows).collect())
-    counts: dict[str, np.ndarray] = {}
-    seen: dict[str, int] = {}
-    for row in picked:
-        c = counts.setdefault(row["tag"], np.zeros(BUCKETS))
-        seen[row["tag"]] = seen.get(row["tag"], 0) + 1
-        for codes in trigram_blocks(row["text"]):
-            c += np.bincount(codes, minlength=BUCKETS)
-    langs = sorted(t for t in counts if seen[t] >= MIN_LANG_ROWS and t != UNKNOWN)
+        (F.col("tag") != UNKNOWN) & (F.length("text") > 0)).withColumn("cell", F.pmod(F.xxhash64("text"), F.lit(cells)))
+    found = (tagged.groupBy("tag").agg(F.count("*").alias("n"), F.count_distinct("cell").alias("texts"))
+             .where(F.col("n") >= MIN_LANG_ROWS).collect())  # one row per language
+    sizes = {r["tag"]: r["texts"] for r in found}
+    counts = {t: np.zeros(BUCKETS) for t in sizes}
+    if sizes:
+        # All texts of a small tag; of others some more than the quota, which is then cut to.
+        quotas = _quotas(sizes, rows)
+        limits = [(t, cells if q == sizes[t] else int(cells * min(1.0, (q + 4 * math.sqrt(q)) / sizes[t])))
+                  for t, q in quotas.items()]
+        table = df.sparkSession.createDataFrame(limits, "tag string, below long")
+        picked = (tagged.join(F.broadcast(table), "tag").where(F.col("cell") < F.col("below"))
+                  .groupBy("tag", "cell").agg(F.min(F.substring("text", 1, chars)).alias("text")).collect())
+        for row in sorted(picked, key=lambda r: (r["tag"], r["cell"])):
+            if quotas[row["tag"]] > 0:
+                quotas[row["tag"]] -= 1
+                for codes in trigram_blocks(row["text"]):
+                    counts[row["tag"]] += np.bincount(codes, minlength=BUCKETS)
+    langs = sorted(counts)
     columns = [np.log((counts[t] + ALPHA) / (counts[t].sum() + ALPHA * BUCKETS)) for t in langs]
     columns.append(np.full(BUCKETS, -math.log(BUCKETS)))
     return TextModel([*langs, UNKNOWN], np.stack(columns, axis=1).astype(np.float32))

@@ -243,6 +243,24 @@ def test_language_evidence_decides_short_texts(spark, sf_small):
     assert out["lid_lang"] == "de"
 
 
+def test_language_model_does_not_depend_on_table_size(spark):
+    """A rare language, and few tagged rows, among many others."""
+    rng = random.Random(6)
+    pick = lambda words: " ".join(rng.choice(words) for _ in range(40))
+    english, greek = ["the", "and", "water", "house", "with"], ["και", "νερο", "σπιτι", "ειναι"]
+    rows = [(i, pick(english), "en", "a") for i in range(3000)] + [(i, pick(greek), "el", "a") for i in range(3000, 3006)]
+    rows += [(i, pick(english), None, "a") for i in range(4000, 9000)] + [(9000, pick(greek), "xx", "a")]
+    rows += [(9001, "same text", "da", "a")] * 6
+    table = frame(spark, rows)
+    model = langid.train_text_model(table, "text", "lang", rows=60)
+    assert model.langs == ["da", "el", "en", langid.UNKNOWN]
+    found = langid.identify(table, "text", "lang", "source", model)
+    assert found.where("doc_id BETWEEN 3000 AND 3005 AND lid_lang = 'el' AND lid_accepted").count() == 6
+    few = langid.train_text_model(table.where("lang = 'el' OR lang IS NULL"), "text", "lang", rows=60)
+    assert few.langs == ["el", langid.UNKNOWN]
+    assert langid._quotas({"a": 5, "b": 100, "c": 1000}, 60) == {"a": 5, "b": 27, "c": 28}
+
+
 def test_quality(spark, sf_small, docs, empty):
     table = spark.read.parquet(f"{sf_small}/../sf0.01/documents.parquet")
     labels = spark.read.parquet(f"{sf_small}/../sf0.01/labels.parquet")
