@@ -308,6 +308,23 @@ def test_pii(docs, empty):
     assert pii.train_on(empty).extra("a 1.2.3.4", pii.base_spans("a")[0]) == []
 
 
+def test_pii_kinds_do_not_depend_on_table_size(spark):
+    """One document of each kind, and a kind that is rare among many numbers."""
+    rng = random.Random(11)
+    rows = [(i, f"item {rng.randint(1, 999)} of lot {i}", "en", "a") for i in range(300)]
+    rows += [(900, "mail ann@example.org now", "en", "a"), (901, "ip 10.1.2.3 is up", "en", "a"),
+             (902, "x " * 3000 + "card 4111 1111 1111 1111 ok", "en", "a")]
+    detector = pii.train_on(frame(spark, rows), rows=20)
+    assert all(detector.thresholds[k] <= 1 for k in pii.KINDS)
+    text = "the host 10[.]20[.]30[.]40 and ip 7[.]8[.]9[.]10 too"
+    assert pii.redact(text, pii.all_spans(text, detector)[1]) == "the host [IP] and ip [IP] too"
+    assert pii._held(rows[-1][1], 4000)[0][0] == "card" and "4111 1111 1111 1111" in pii._held(rows[-1][1], 4000)[0][1]
+    for kind in pii.KINDS:
+        for _ in range(50):
+            value = pii._made(kind, rng)
+            assert pii.base_spans(value)[0][kind] == [(0, len(value))]
+
+
 def test_html(spark, sf_small):
     text = linecut.main_text
     assert text("") == "" and text("<p>") == ""
