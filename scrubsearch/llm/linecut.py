@@ -7,10 +7,10 @@ comments; told by element, role, class and id). The weights are summed over
 sliding windows of ``WINDOW`` lines. The text begins at the line where the sums
 surge and ends where they dive; what lies between is kept, furniture apart.
 
-On a page that marks its article, lines outside it weigh 0, a surge is any
-text and a dive is a window without text, and all stretches of the article are
-kept. On a page without marks a surge needs a share of the largest window, and
-the heaviest stretch is kept.
+On a page that marks articles or a main part, all their lines outside furniture
+are kept, whichever of them holds text. On a page without marks the windows run
+over the lines outside furniture, and all stretches that surge are kept, from
+the short lines that lead up to the surge on.
 """
 
 from __future__ import annotations
@@ -26,8 +26,7 @@ from pyspark.sql import functions as F
 from scrubsearch.llm.common import as_text, map_rows
 
 WINDOW = 3
-SURGE_SHARE = 0.1      # of the largest window, on pages that mark no article
-SURGE_CHARS = 40
+SURGE_CHARS = 40       # of a window, on pages that mark no article
 
 # Fixed: elements by their role in a page.
 SKIPPED = {"script", "style", "noscript", "template", "textarea", "select", "svg", "math", "iframe",
@@ -168,8 +167,8 @@ def page_lines(page: str) -> list[tuple[str, int, bool, int, int]]:
 def stretches(weights: np.ndarray, surge: float) -> list[tuple[int, int]]:
     """[first, last) of the runs of lines whose windows reach ``surge``.
 
-    A window is the sum of ``WINDOW`` lines around a line. A stretch begins at
-    the surge, ends where the next windows dive to nothing, and is trimmed to
+    A window is the sum of ``WINDOW`` lines around a line. A stretch reaches from
+    its surge both ways to where the windows dive to nothing, and is trimmed to
     lines with weight.
     """
     n = len(weights)
@@ -179,47 +178,32 @@ def stretches(weights: np.ndarray, surge: float) -> list[tuple[int, int]]:
     total = np.concatenate([[0], np.cumsum(weights)])
     first, last = np.maximum(np.arange(n) - half, 0), np.minimum(np.arange(n) + half + 1, n)
     window = total[last] - total[first]
-    out, k = [], 0
-    while k < n:
-        if window[k] < surge or window[k] == 0:
-            k += 1
-            continue
-        begin = k
-        while k < n and window[k] > 0:
-            k += 1
-        full = np.flatnonzero(weights[begin:k])
-        if len(full):
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], window > 0, [0]])))
+    out = []
+    for begin, stop in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        full = np.flatnonzero(weights[begin:stop])
+        if window[begin:stop].max() >= surge:
             out.append((begin + int(full[0]), begin + int(full[-1]) + 1))
     return out
 
 
 def main_text(page: str) -> str:
     """The main text of a page, lines joined by one line feed; "" if there is none."""
-    lines = page_lines(page)
+    lines = [line for line in page_lines(page) if not line[2]]
     if not lines:
         return ""
-    weights = np.array([w for _, w, _, _, _ in lines], np.int64)
-    furniture = np.array([line[2] for line in lines])
+    weights = np.array([line[1] for line in lines], np.int64)
+    kept = np.zeros(len(lines), bool)
     for column in (3, 4):
+        # Every article and main part with text, lines that are all link included:
+        # inside they are text, not a menu.
         owner = np.array([line[column] for line in lines], np.int64)
-        mass = np.bincount(owner, weights=weights)
-        if len(mass) > 1 and mass[1:].any():
-            best = int(mass[1:].argmax()) + 1
-            inside = owner == best
-            # Inside the article, lines that are all link weigh one character:
-            # they are text, not a menu.
-            inside_weights = np.where(inside & ~furniture, np.maximum(weights, 1), 0)
-            kept = np.zeros(len(lines), bool)
-            for begin, stop in stretches(inside_weights, 1):
-                kept[begin:stop] = True
-            kept &= inside & ~furniture
-            return "\n".join(line[0] for line, k in zip(lines, kept, strict=True) if k)
-    largest = np.convolve(weights, np.ones(WINDOW, np.int64)).max()
-    found = stretches(weights, max(1, min(SURGE_CHARS, largest), SURGE_SHARE * largest))
-    if not found:
-        return ""
-    begin, stop = max(found, key=lambda s: (weights[s[0]: s[1]].sum(), -s[0]))
-    return "\n".join(line[0] for line in lines[begin:stop] if not line[2])
+        kept |= (owner > 0) & (np.bincount(owner, weights=weights) > 0)[owner]
+    if not kept.any():
+        largest = np.convolve(weights, np.ones(WINDOW, np.int64)).max()
+        for begin, stop in stretches(weights, max(1, min(SURGE_CHARS, largest))):
+            kept[begin:stop] = True
+    return "\n".join(line[0] for line, k in zip(lines, kept, strict=True) if k)
 
 
 def extract_text(pages: DataFrame, html: str = "html", keep: list[str] = ()) -> DataFrame:

@@ -347,6 +347,25 @@ def test_html(spark, sf_small):
     assert linecut.extract_text(odd.where("page_id > 9")).count() == 0
 
 
+def test_html_keeps_every_part():
+    text = linecut.main_text
+    one, two = "first " * 50, "second " * 50
+    p = lambda t: f"<p>{t}</p>"
+    both = f"{one.strip()}\n{two.strip()}"
+    assert text(f"<article>{p(one)}</article><article>{p(two * 2)}</article>") == f"{one.strip()}\n{(two * 2).strip()}"
+    assert text(f"<main>{p(one)}<article>{p(two)}</article></main><footer>f</footer>") == both
+    assert text(f"<main>{p(one)}</main><article>{p(two)}</article><div>{p('out ' * 50)}</div>") == both
+    assert text(f"<article><a href=1>teaser</a></article><article>{p(one)}</article>") == one.strip()
+    for box in ("<ul class=share><li>a<li>b<li>c</ul>", "<ul><li><a href=1>a</a><li><a href=2>b</a><li><a href=3>c</a></ul>",
+                "<div class=ad><p>buy<p>more<p>now</div>"):
+        assert text(p(one) + box + p(two)).startswith(one.strip()) and text(p(one) + box + p(two)).endswith(two.strip())
+    assert text(p("Title") + p("by Ann") + p("short line") + p("x") + p(one * 20)) == (
+        "Title\nby Ann\nshort line\nx\n" + (one * 20).strip())
+    gap = "<a href=1>a</a><div><a href=1>b</a></div><div><a href=1>c</a></div><div><a href=1>d</a></div>"
+    assert text(p(one * 40) + gap + p(two)) == f"{(one * 40).strip()}\n{two.strip()}"
+    assert text("<p><a href=1>only a link</a></p>") == ""
+
+
 def test_pipeline_stages(spark, sf_small, docs, empty):
     kept = spark.read.parquet(f"{sf_small}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
