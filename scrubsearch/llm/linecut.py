@@ -50,6 +50,11 @@ NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "aler
          "notices", "notification", "overlay", "pager", "pagination", "popup", "promo", "promoted", "recommended",
          "related", "replies", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored",
          "subscribe", "toolbar", "widget"}
+COMMENTS = {"comment", "comments", "disqus", "replies"}
+# A class name that begins so tells of a state or a topic of an element, not what it is;
+# one that ends so is told by the word before.
+STATES = {"has", "with", "no", "without", "is", "not", "js", "tag", "category", "cat", "type", "format", "status"}
+TAILS = {"list", "links", "buttons", "posts", "items", "slot", "unit", "area", "box", "block", "form", "bar"}
 
 _TAG = re.compile(
     r"<!--(?:.*?-->|.*)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
@@ -58,29 +63,67 @@ _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def is_furniture(name: str, attrs: str) -> bool:
-    """Whether an element is no part of the text, by its name, role, class or id."""
+def class_word(value: str) -> str | None:
+    """The word of ``NAMES`` that a class or id names an element by.
+
+    That is a whole name or its last part: ``sidebar`` and ``post-comments``,
+    but not ``has-sidebar`` or ``tag-related``.
+    """
+    for one in value.split():
+        parts = [w.lower() for w in _PARTS.findall(one)]
+        if not parts or len(parts) > 1 and parts[0] in STATES:
+            continue
+        while len(parts) > 1 and parts[-1] in TAILS:
+            parts.pop()
+        if parts[-1] in NAMES:
+            return parts[-1]
+    return None
+
+
+def is_furniture(name: str, attrs: str) -> tuple[bool, str | None]:
+    """Whether an element is no part of the text by its name, role or hidden mark; its word by class or id."""
     if name in FURNITURE:
-        return True
+        return True, None
+    word = None
     if "=" in attrs:
         for m in _ATTR.finditer(attrs):
             key = m[1].lower()
             if key in ("class", "id", "role"):
                 value = m[2] or m[3] or m[4] or ""
                 if key == "role" and value.strip().lower() in ROLES:
-                    return True
-                if key != "role" and any(w.lower() in NAMES for w in _PARTS.findall(value)):
-                    return True
-    return re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs) is not None if "hidden" in attrs else False
+                    return True, None
+                if key != "role":
+                    word = word or class_word(value)
+    return re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attrs) is not None if "hidden" in attrs else False, word
+
 
+Line = tuple[str, int, bool, int, int]
 
-def page_lines(page: str) -> list[tuple[str, int, bool, int, int]]:
+
+def page_lines(page: str) -> list[Line]:
     """(text, weight, furniture, article, main) of each line of a page, in order.
 
-    article and main are the running number of the innermost one, 0 outside.
+    article and main are the running number of the outermost one, 0 outside.
+    Class words never make furniture of an article or main (reader comments
+    apart), nor of what holds main, nor of what holds the only articles.
     """
-    lines: list[tuple[str, int, bool, int, int]] = []
-    stack: list[tuple[str, bool, int, int]] = []      # open elements: name, furniture, article, main
+    lines, around_main, around = _lines(page, frozenset())
+    if around_main:
+        lines, _, more = _lines(page, around_main)
+        around |= more
+    if around and not any((article or main) and weight for _, weight, _, article, main in lines):
+        lines, _, _ = _lines(page, around_main | around)
+    return lines
+
+
+def _lines(page: str, spared: frozenset[int]) -> tuple[list[Line], frozenset[int], frozenset[int]]:
+    """Lines with the elements at ``spared`` not judged by class; where elements
+    that are so judged begin, around or at a main, and an article."""
+    lines: list[Line] = []
+    # Open elements: name, furniture, article, main, those judged by class around its text.
+    stack: list[tuple[str, bool, int, int, frozenset[int]]] = []
+    around_main: frozenset[int] = frozenset()
+    around: frozenset[int] = frozenset()
     words: list[str] = []
     chars = articles = mains = 0
     in_link = hidden_p = False
@@ -91,7 +134,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool, int, int]]:
         text = " ".join("".join(words).split())
         words = []
         if text:
-            _, furniture, article, main = stack[-1] if stack else ("", False, 0, 0)
+            _, furniture, article, main, _ = stack[-1] if stack else ("", False, 0, 0, frozenset())
             furniture = furniture or hidden_p
             lines.append((text, 0 if furniture else chars, furniture, article, main))
         chars = 0
@@ -139,7 +182,11 @@ def page_lines(page: str) -> list[tuple[str, int, bool, int, int]]:
             continue
         if name in VOID:
             continue
-        furniture = is_furniture(name, attrs)
+        furniture, word = is_furniture(name, attrs)
+        is_main = name == "main" or "main" in attrs and re.search(r"role\s*=\s*[\"']?main\b", attrs) is not None
+        if word and (m.start() in spared or (is_main or name == "article") and word not in COMMENTS):
+            word = None
+        hard, furniture = furniture, furniture or word is not None
         if name == "p":
             hidden_p = furniture
         elif block or furniture:
@@ -151,17 +198,23 @@ def page_lines(page: str) -> list[tuple[str, int, bool, int, int]]:
                     if stack[k][0] in which:
                         del stack[k:]
                         break
-            _, outer, article, main = stack[-1] if stack else ("", False, 0, 0)
+            _, outer, article, main, judged = stack[-1] if stack else ("", False, 0, 0, frozenset())
+            if word and not hard:
+                judged |= {m.start()}
+            if is_main:
+                around_main |= judged
+            if name == "article":
+                around |= judged
             if name == "article" and not outer:
                 articles += 1
                 article = article or articles  # an article inside another is part of it
-            if (name == "main" or "main" in attrs and re.search(r"role\s*=\s*[\"']?main\b", attrs)) and not outer:
+            if is_main and not outer:
                 mains += 1
                 main = main or mains
             if name != "body" and name != "html":
-                stack.append((name, outer or furniture, article, main))
+                stack.append((name, outer or furniture, article, main, judged))
     flush()
-    return lines
+    return lines, around_main, around
 
 
 def stretches(weights: np.ndarray, surge: float) -> list[tuple[int, int]]:

@@ -366,6 +366,23 @@ def test_html_keeps_every_part():
     assert text("<p><a href=1>only a link</a></p>") == ""
 
 
+def test_html_class_words_never_lose_the_page():
+    text = linecut.main_text
+    body, note = "some words " * 30, "<p>" + "note words " * 9 + "</p>"
+    want = body.strip()
+    for page in ('<article class="post has-sidebar">{}</article>', '<main class="with-sidebar">{}</main>',
+                 '<div id="page" class="site has-header-image"><article>{}</article></div>',
+                 '<article class="post tag-related category-notices">{}</article>', '<article class="promo">{}</article>',
+                 '<div class="widget"><main>{}</main></div>', '<div class="menu"><article>{}</article></div>',
+                 '<div class="tag-related no-sidebar">{}</div>', '<main class="x comments">{}</main>'):
+        assert text(page.format(f"<p>{body}</p>")) == want, page
+    for side in ("<div class=post-comments>{}</div>", "<div id=comments><article class=comment>{}</article></div>",
+                 "<div class=sidebar><article>{}</article></div>", "<article class='comment depth-1'>{}</article>",
+                 "<div class=share-buttons>{}</div>", "<div class='ad'>{}</div>", "<div class='siteFooter'>{}</div>"):
+        assert text(f"<article><p>{body}</p></article>" + side.format(note)) == want, side
+        assert text(f"<main class=has-sidebar><p>{body}</p>{side.format(note)}</main>") == want, side
+
+
 def test_pipeline_stages(spark, sf_small, docs, empty):
     kept = spark.read.parquet(f"{sf_small}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
