@@ -325,6 +325,26 @@ def test_pii_kinds_do_not_depend_on_table_size(spark):
             assert pii.base_spans(value)[0][kind] == [(0, len(value))]
 
 
+def test_pii_spelled_addresses():
+    """Every sign of the pattern is proposed, in any case, and real ones are no counter-examples."""
+    for s in ("JOHN AT EXAMPLE DOT COM", "john (AT) example.com", "john at example.com", "john{At}example{DOT}com"):
+        assert ("email", 6, 6 + len(s)) in pii.loose_spans(f"write {s}, now")
+    rng = random.Random(12)
+    for _ in range(20000):
+        t = "".join(rng.choice(["a", "b1", ".", " ", " at ", "at", "(at)", "[AT]", "@", " dot ", "(dot)", "x" * 40, "\u212a", ","])
+                    for _ in range(rng.randint(0, 14)))
+        assert pii._loose_emails(t) == [m.span() for m in pii._LOOSE_EMAIL.finditer(t)], t
+    for kind in pii.KINDS:
+        for _ in range(50):
+            for form, label in pii._rewritten(kind, value := pii._made(kind, rng), rng):
+                assert not label or kind == "phone" or pii._is_form(kind, form), (value, form)
+    for kind, s in (("card", "4111.1111.1111.1112"), ("ip", "1[.]2[.]3[.]999"), ("email", "look at example.com")):
+        assert not pii._is_form(kind, s)
+    texts = [f"write ann{k} at site{k} dot org or b{k}@x{k}.org" for k in range(300)]
+    text = "write JOHN AT EXAMPLE DOT COM"
+    assert pii.redact(text, pii.all_spans(text, pii.train(texts))[1]) == "write [EMAIL]"
+
+
 def test_html(spark, sf_small):
     text = linecut.main_text
     assert text("") == "" and text("<p>") == ""
