@@ -81,14 +81,14 @@ def read_sheet(data: bytes) -> tuple[list[str], list[list[str | None]]]:
 
 def _decode(batches):
     for pdf in batches:
-        out = []
         for path, content in zip(pdf["path"], pdf["content"]):
+            out = []  # of one file: its rows go on before the next is read
             try:
                 header, rows = read_sheet(bytes(content))
                 out.extend((path, i, row, header, None) for i, row in enumerate(rows))
             except Exception as exc:  # S4: report the file, keep going
                 out.append((path, None, None, None, f"{type(exc).__name__}: {exc}"))
-        yield pd.DataFrame(out, columns=["path", "row_no", "cells", "header", "error"])
+            yield pd.DataFrame(out, columns=["path", "row_no", "cells", "header", "error"])
 
 
 def read_workbooks(spark: SparkSession, folder: str, glob: str = "*.xlsx") -> tuple[DataFrame, DataFrame]:
@@ -125,18 +125,14 @@ def _col_name(i: int) -> str:
     return s
 
 
-def workbook_bytes(header: list[str], rows: list[list[str | None]]) -> bytes:
-    """A minimal one-sheet workbook with inline strings."""
+def write_workbook(target, header: list[str], rows) -> None:
+    """A minimal one-sheet workbook with inline strings; ``rows`` are streamed into ``target``."""
     def row_xml(r: int, values) -> str:
         cells = "".join(
             f'<c r="{_col_name(i)}{r}" t="inlineStr"><is><t xml:space="preserve">{_xml_escape(v)}</t></is></c>'
             for i, v in enumerate(values) if v is not None)
         return f'<row r="{r}">{cells}</row>'
 
-    sheet = ('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
-             f'<worksheet xmlns="{NS["m"]}"><sheetData>'
-             + row_xml(1, header) + "".join(row_xml(i + 2, r) for i, r in enumerate(rows))
-             + "</sheetData></worksheet>")
     files = {
         "[Content_Types].xml": (
             '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
@@ -157,37 +153,51 @@ def workbook_bytes(header: list[str], rows: list[list[str | None]]) -> bytes:
             '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
             '<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/>'
             "</Relationships>"),
-        "xl/worksheets/sheet1.xml": sheet,
     }
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for name, body in files.items():
             z.writestr(name, body)
+        with z.open("xl/worksheets/sheet1.xml", "w", force_zip64=True) as sheet:
+            sheet.write(('<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+                         f'<worksheet xmlns="{NS["m"]}"><sheetData>' + row_xml(1, header)).encode())
+            for i, r in enumerate(rows):
+                sheet.write(row_xml(i + 2, r).encode())
+            sheet.write(b"</sheetData></worksheet>")
+
+
+def workbook_bytes(header: list[str], rows: list[list[str | None]]) -> bytes:
+    """``write_workbook`` in memory."""
+    buf = io.BytesIO()
+    write_workbook(buf, header, rows)
     return buf.getvalue()
 
 
-def write_workbooks(df: DataFrame, columns: list[str], folder: str, files: int = 8) -> None:
-    """One workbook per partition of ``df`` (all ``columns`` cast to text),
-    written by the executors into ``folder`` (a shared path)."""
+ROWS_PER_FILE = 10_000
+
+
+def write_workbooks(df: DataFrame, columns: list[str], folder: str, files: int = 8,
+                    rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Workbooks of at most ``rows_per_file`` rows of ``df``, at least about
+    ``files`` of them (all ``columns`` cast to text), written by the executors
+    into ``folder`` (a shared path). Their number grows with the table."""
     from pyspark.sql.types import StructField, StructType, StringType
 
     cols = [F.col(c).cast("string").alias(c) for c in columns]
     schema = StructType([StructField("path", StringType())])
 
     def write_local(batches):
+        import itertools
         import os
         import uuid
-        rows: list[list[str | None]] = []
-        for pdf in batches:
-            rows.extend(pdf[columns].astype(object).where(pdf[columns].notna(), None).values.tolist())
-        if rows:
-            target = folder[len("file:"):] if folder.startswith("file:") else folder
+        rows = (row for pdf in batches
+                for row in pdf[columns].astype(object).where(pdf[columns].notna(), None).values.tolist())
+        target = folder[len("file:"):] if folder.startswith("file:") else folder
+        for first in rows:
             os.makedirs(target, exist_ok=True)
-            path = f"{target}/tickets-{uuid.uuid4().hex[:8]}.xlsx"
+            path = f"{target}/tickets-{uuid.uuid4().hex}.xlsx"
             with open(path, "wb") as fh:
-                fh.write(workbook_bytes(columns, rows))
+                write_workbook(fh, columns, itertools.chain([first], itertools.islice(rows, rows_per_file - 1)))
             yield pd.DataFrame({"path": [path]})
-        else:
-            yield pd.DataFrame({"path": pd.Series([], dtype=str)})
 
-    df.select(*cols).repartition(files).mapInPandas(write_local, schema).collect()
+    parts = max(files, -(-df.count() // rows_per_file))
+    df.select(*cols).repartition(parts).mapInPandas(write_local, schema).count()

@@ -91,3 +91,15 @@ def test_no_cross_join_in_plan(spark, sf_small, name):
     df = E.queries()[name](spark, sf_small)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_workbooks_hold_bounded_runs_of_rows(spark, tmp_path):
+    from scrubsearch.sources import xlsx
+
+    df = spark.range(95).selectExpr("id", "IF(id % 7 = 0, NULL, concat('a<&', id)) AS subject")
+    xlsx.write_workbooks(df, ["id", "subject"], str(tmp_path), files=2, rows_per_file=10)
+    sizes = [len(xlsx.read_sheet(p.read_bytes())[1]) for p in tmp_path.glob("*.xlsx")]
+    assert sum(sizes) == 95 and 0 < max(sizes) <= 10
+    rows, errors = xlsx.read_workbooks(spark, str(tmp_path))
+    assert errors.count() == 0
+    assert sorted(r["text"] for r in rows.collect()) == sorted(f"{i} " + (f"a<&{i}" if i % 7 else "nan") for i in range(95))
