@@ -50,14 +50,14 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def store(df: DataFrame) -> tuple[DataFrame, str]:
+def store(df: DataFrame, compression: str = "snappy") -> tuple[DataFrame, str]:
     """Write ``df`` as a table in the shared folder; the table and its path.
 
     For loops: a checkpoint keeps the size that the optimizer has estimated,
     which multiplies with every join of every round; a table has a size.
     """
     path = scratch_dir(df.sparkSession, "round")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scrubsearch.llm import bytecnn, langid, linecut, mixing, neardup, pii, repetition, shard, spiece, topk
+from scrubsearch.llm import (alignment, bytebpe, bytecnn, langid, linecut, merkle, mixing, neardup, pii, repetition,
+                             shard, spiece, topk)
 from scrubsearch.llm.common import bounded_batches
 
 QUERIES: dict = {}
@@ -223,4 +224,84 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@register("op11_byte_bpe")
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.digests(bytebpe.encode_documents(table(spark, sf_dir, "documents"), decoded=True))
+
+
+def _merkle_sql(levels: int = 6) -> str:
+    """Up to FANOUT ** levels leaves in a source, and as many sources.
+
+    A level keeps its nodes' siblings left and right (``b``, ``a``); a group
+    with one node left stays as it is. crc32 is folded over the id's digits."""
+    n = merkle.FANOUT
+
+    def tree(name: str) -> str:
+        out = []
+        for k in range(levels):
+            out.append(f"""{name}{k}s AS (
+  SELECT *, CASE WHEN cnt > 1 THEN coalesce(string_agg(d, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE '' END AS b,
+         CASE WHEN cnt > 1 THEN coalesce(string_agg(d, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') ELSE '' END AS a
+  FROM {name}{k} WINDOW w AS (PARTITION BY g, r // {n} ORDER BY r)
+), {name}{k + 1} AS (
+  SELECT g, r // {n} AS r, any_value((cnt + {n - 1}) // {n}) AS cnt,
+         CASE WHEN any_value(cnt) > 1 THEN sha256(string_agg(d, '' ORDER BY r)) ELSE any_value(d) END AS d
+  FROM {name}{k} GROUP BY g, r // {n}
+)""")
+        return ",\n".join(out)
+
+    def climb(name: str, start: str) -> str:
+        out, at = [], start
+        for k in range(levels):
+            out.append(f"""f{name}{k} AS (
+  SELECT f.* EXCLUDE (d, proof), CASE WHEN s.cnt > 1 THEN sha256(s.b || f.d || s.a) ELSE f.d END AS d,
+         f.proof || s.b || s.a AS proof
+  FROM {at} f JOIN {name}{k}s s ON s.g = f.{'g' if name == 'l' else 'zero'} AND s.r = f.{'r' if name == 'l' else 'g'} // {n ** k}
+)""")
+            at = f"f{name}{k}"
+        return ",\n".join(out)
+
+    def leaf(text: str) -> str:
+        put = " || ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+                          for c in ("doc_id", "source", "lang", "n_chars", text))
+        return f"sha256({put})"
+
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE bits(i, k, c) AS (
+  SELECT i, 0, i FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE k < 8
+), crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8
+), rows AS (
+  SELECT doc_id, source, lang, n_chars, text, coalesce(xor(list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+           lambda v, x: xor(v // 256, t[xor(v, x) % 256 + 1])), 4294967295) % 5 = 0, false) AS bad
+  FROM documents, crc
+), hashed AS (
+  SELECT doc_id, source, {leaf('text')} AS leaf,
+         CASE WHEN bad THEN {leaf(f"translate(text, '{upper}', '{upper.lower()}')")} ELSE {leaf('text')} END AS seen
+  FROM rows
+), leaves AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, 0 AS zero,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r FROM hashed
+), l0 AS (SELECT g, r, count(*) OVER (PARTITION BY g) AS cnt, leaf AS d FROM leaves
+), {tree('l')}, t0 AS (SELECT 0 AS g, g AS r, count(*) OVER () AS cnt, d FROM l{levels}
+), {tree('t')}, start AS (SELECT *, seen AS d, '' AS proof FROM leaves
+), {climb('l', 'start')}, {climb('t', f'fl{levels - 1}')}
+SELECT f.doc_id, f.leaf, l.d AS subroot, t.d AS root, sha256(f.proof) AS proof_sha256, f.d AS folded_root,
+       f.d = t.d AS verified
+FROM ft{levels - 1} f JOIN l{levels} l ON l.g = f.g, t{levels} t
+"""
+
+
+@register("op12_merkle_manifest", _merkle_sql())
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+@register("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(table(spark, sf_dir, "documents"))
+
+
 register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
