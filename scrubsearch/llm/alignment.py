@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrubsearch.llm import bytebpe
-from scrubsearch.llm.common import store
+from scrubsearch.llm.common import store, worker_model
 from scrubsearch.llm.spiece import MODEL_FILE, SPACE, Remembered, read_model
 
 BYTE_BPE_FILE = "/opt/tokenizers/byte_bpe_50k.json"
@@ -210,16 +210,9 @@ def units_of(text: str) -> list[str]:
     return _CUT.split(text)
 
 
-_LOADED: dict[int, Aligner] = {}
-
-
 def loaded(a_content: bytes, b_model: bytes) -> Aligner:
     """The aligner of this worker process, built once."""
-    key = hash((a_content, b_model))
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Aligner(a_content, b_model)
-    return _LOADED[key]
+    return worker_model(__name__, hash((a_content, b_model)), lambda: Aligner(a_content, b_model))
 
 
 # --- documents --------------------------------------------------------------

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scrubsearch.llm.common import worker_model
 from scrubsearch.llm.spiece import Remembered, read_model
 
 RANK_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -207,16 +208,9 @@ class Ranks:
         return b"".join(map(self.raw.__getitem__, ids))
 
 
-_LOADED: dict[int, Ranks] = {}
-
-
 def loaded(content: bytes) -> Ranks:
     """The vocabulary of this worker process, built once."""
-    key = hash(content)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Ranks(read_ranks(content))
-    return _LOADED[key]
+    return worker_model(__name__, hash(content), lambda: Ranks(read_ranks(content)))
 
 
 def texts_of(column: pa.Array) -> list[str]:

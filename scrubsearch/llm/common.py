@@ -101,10 +101,32 @@ def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     )
 
 
+_MODEL: dict = {}
+
+
+def worker_model(owner: str, key=None, build=lambda: None):
+    """What ``build`` makes, kept by this Python worker until another owner or key asks.
+
+    Spark reuses its Python workers for the stages of a job; a worker holds the
+    parsed model and the remembered results of one operator at a time."""
+    if _MODEL.get("of") != (owner, key):
+        _MODEL.clear()
+        _MODEL["model"] = build()
+        _MODEL["of"] = (owner, key)
+    return _MODEL["model"]
+
+
+def release_models(owner: str) -> None:
+    """Let go of another operator's model."""
+    if _MODEL and _MODEL["of"][0] != owner:
+        _MODEL.clear()
+
+
 def map_rows(df: DataFrame, fn, schema: str | StructType) -> DataFrame:
     """``fn(pandas frame) -> pandas frame`` over the Arrow batches of each task."""
 
     def run(frames):
+        release_models(fn.__module__)
         for frame in frames:
             if len(frame):
                 yield fn(frame)

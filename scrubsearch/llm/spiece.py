@@ -30,14 +30,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrubsearch.llm.common import as_text, map_rows
+from scrubsearch.llm.common import as_text, map_rows, worker_model
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
-CACHE_WORDS = 200_000      # of a generation; two are kept
-CACHE_PAIRS = 250_000
-CACHE_STEPS = 400_000
+CACHE_WORDS = 120_000      # of a generation; two are kept
+CACHE_PAIRS = 125_000
+CACHE_STEPS = 100_000
 OTHER = -1
 CACHE_WORD_CHARS = 64
 
@@ -239,16 +239,9 @@ def read_model(spark, path: str) -> bytes:
     return bytes(spark.read.format("binaryFile").load(path).first()["content"])
 
 
-_LOADED: dict[int, Pieces] = {}
-
-
 def loaded(model: bytes) -> Pieces:
     """The parsed model of this worker process."""
-    key = hash(model)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Pieces(model)
-    return _LOADED[key]
+    return worker_model(__name__, hash(model), lambda: Pieces(model))
 
 
 def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
