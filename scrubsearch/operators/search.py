@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from scrubsearch.functions import fixed
 from scrubsearch.operators.embed import DEFAULT_EMBEDDER, Embedder
+from scrubsearch.operators.sparse import topk_sparse
 from scrubsearch.session import ship_package
 
 
@@ -79,61 +80,9 @@ def _joined_schema(queries: DataFrame, corpus: DataFrame, by: list[str], qid: st
 
 
 # ---------------------------------------------------------------------------
-# Sparse top-k
+# Sparse top-k (operators.sparse)
 # ---------------------------------------------------------------------------
 
-def topk_sparse(query_vec: DataFrame, chunk_vec: DataFrame, k: int = fixed.TOP_K, store: str = "store",
-                query_rows: int = 16384, chunk_rows: int = 1024) -> DataFrame:
-    """query_vec (store, query_id, buckets, tfs, norm2) x chunk_vec (store,
-    chunk_key, buckets, tfs, norm2) -> (store, query_id, rank, chunk_key, score).
-
-    Exact cosine of the token counts. Every query gets k rows if its store
-    has k chunks; chunks that share no token score 0. Ties go to the smaller
-    chunk_key."""
-    ship_package(chunk_vec.sparkSession)
-    cols = ["buckets", "tfs", "norm2"]
-    q, c = query_vec.select(store, "query_id", *cols), chunk_vec.select(store, "chunk_key", *cols)
-    schema = _joined_schema(q, c, [store], "query_id", "chunk_key")
-    scored = block_grid(q, c, "query_id", "chunk_key", [store], query_rows, chunk_rows).applyInArrow(
-        _sparse_block(k, [f.name for f in schema]), schema)
-    return _rank_window(scored, [store, "query_id"], [F.desc("score"), F.asc("chunk_key")], k)
-
-
-def _sparse_block(k: int, names: list[str], at_once: int = 256):
-    def run(q: pa.Table, c: pa.Table) -> pa.Table:
-        out = [q[names[0]].slice(0, 0), q[names[1]].slice(0, 0), c[names[2]].slice(0, 0), pa.chunked_array([], pa.float64())]
-        if not q.num_rows or not c.num_rows:
-            return pa.table(out, names=names)
-        c = c.sort_by(names[2])
-        (cb, c_row), (qb, q_row) = _list_column(c, "buckets"), _list_column(q, "buckets")
-        ct, qt = _list_column(c, "tfs")[0], _list_column(q, "tfs")[0]
-        cn, qn = c["norm2"].to_numpy().astype(float), q["norm2"].to_numpy().astype(float)
-        starts = np.searchsorted(q_row, np.arange(0, q.num_rows + at_once, at_once))
-        rows, picked, scores = [], [], []
-        for i, (lo, hi) in enumerate(zip(starts[:-1], starts[1:])):
-            first, last = i * at_once, min((i + 1) * at_once, q.num_rows)
-            shared = np.intersect1d(qb[lo:hi], cb)
-            dots = np.zeros((last - first, c.num_rows))
-            if len(shared):
-                # counts are integers: the product is exact in any order
-                left = np.zeros((last - first, len(shared)))
-                right = np.zeros((c.num_rows, len(shared)))
-                for mat, row, b, tf in ((left, q_row[lo:hi] - first, qb[lo:hi], qt[lo:hi]), (right, c_row, cb, ct)):
-                    at = np.minimum(np.searchsorted(shared, b), len(shared) - 1)
-                    hit = shared[at] == b
-                    mat[row[hit], at[hit]] = tf[hit]
-                dots = left @ right.T
-            score = dots / np.sqrt(np.maximum(qn[first:last, None] * cn[None, :], 1.0))
-            cols = _best_columns(score, k)
-            rows.append(np.repeat(np.arange(first, last), cols.shape[1]))
-            picked.append(cols.ravel())
-            scores.append(np.take_along_axis(score, cols, axis=1).ravel())
-        at, cols = np.concatenate(rows), np.concatenate(picked)
-        return pa.table([q[names[0]].take(at), q[names[1]].take(at), c[names[2]].take(cols),
-                         pa.array(np.concatenate(scores))], names=names)
-    return run
-
-
 def search_sparse(queries: DataFrame, index, k: int = fixed.TOP_K, key_col: str = "key",
                   embed: Embedder = DEFAULT_EMBEDDER) -> DataFrame:
     """Embed (store, query_id, <key_col>) queries and run R2b against a

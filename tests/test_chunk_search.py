@@ -1,6 +1,7 @@
 """P1-P5 invariants and R2/R2b against brute force."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from scrubsearch.operators import chunk as CH
 from scrubsearch.operators import index as IX
 from scrubsearch.operators import search as S
+from scrubsearch.operators import sparse
 from scrubsearch.operators.embed import embed_sparse
 from scrubsearch.operators.flatten import flatten_rows, pack_rows
 from scrubsearch.session import scratch_dir
@@ -201,3 +203,62 @@ def test_lsh_recall(spark, sf_small):
     exact = set(map(tuple, S.topk_dense(spark, q, e, k=10).select("query_id", "vec_id").collect()))
     approx = set(map(tuple, S.topk_lsh(q, e, k=10).select("query_id", "vec_id").collect()))
     assert len(approx & exact) / len(exact) >= 0.9
+
+
+def _vectors(spark, texts, key, store="kb"):
+    rows = [(store, k, t) for k, t in texts]
+    kind = "long" if key == "query_id" else "string"
+    return IX.DEFAULT_EMBEDDER(spark.createDataFrame(rows, f"store string, {key} {kind}, text string"), "text")
+
+
+def test_sparse_heavy_and_light_tokens(spark):
+    """Any share of heavy tokens, blocks and parts of any size give the brute-force rows."""
+    rng = random.Random(3)
+    common, rare = ["the", "of", "and", "a"], [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(common) for _ in range(rng.randint(0, 8))) + " " + " ".join(rng.sample(rare, rng.randint(0, 4)))
+             for _ in range(180)] + ["the of"] * 12  # ties at the edge of the k best
+    asked = ["the", "the of and", "w1 w2", "the w3 w3 of", "", "zzz", "a a a w7", "of w59 zzz", "the of"]
+    chunks = _vectors(spark, [(f"k{i:03d}", t) for i, t in enumerate(texts)], "chunk_key")
+    queries = _vectors(spark, list(enumerate(asked)), "query_id")
+    want = {i: _brute(texts, t, 10) for i, t in enumerate(asked)}
+    for share, least, part, block in ((0.0, 0, 50, 4), (0.1, 1, 4096, 64), (2.0, 0, 64, 3)):
+        rows = S.topk_sparse(queries, chunks, heavy_share=share, heavy_min=least, chunk_rows=part, query_rows=block).collect()
+        got = {}
+        for r in sorted(rows, key=lambda r: r["rank"]):
+            got.setdefault(r["query_id"], []).append(r["chunk_key"])
+        assert got == want, (share, part)
+
+
+def test_heavy_blocks_are_skipped_but_nothing_is_lost():
+    """Block bounds: chunks of four vocabularies; most blocks of the other three are never scored."""
+    rng = np.random.default_rng(1)
+    n, tokens, k = 4000, 40, 10
+    rows = np.zeros((n, tokens))
+    for i in range(n):
+        rows[i, i % 4 * 10:i % 4 * 10 + 10] = rng.integers(0, 9, 10)
+    asked = np.zeros((30, tokens))
+    for i in range(30):
+        asked[i, i % 4 * 10:i % 4 * 10 + 10] = rng.integers(0, 4, 10)
+
+    def csr(m):
+        row, col = np.nonzero(m)
+        return col.astype(np.int64), m[row, col].astype(np.int64), row, (m * m).sum(axis=1)
+
+    q, c, s, scored = sparse.heavy_best(csr(asked), csr(rows), k)
+    exact = asked @ rows.T / np.sqrt(np.maximum((asked ** 2).sum(1)[:, None] * (rows ** 2).sum(1)[None], 1.0))
+    for i in range(30):
+        best = np.lexsort((np.arange(n), -exact[i]))[:k]
+        assert sorted(c[q == i].tolist()) == sorted(best.tolist())
+        assert np.allclose(np.sort(s[q == i]), np.sort(exact[i][best]), rtol=0, atol=0)
+    assert scored <= 0.5 * 30 * n
+
+
+def test_ticket_search_scores_few_pairs(spark, sf_small):
+    """At most a tenth of the pairs of questions and chunks get a score."""
+    chunks = IX.DEFAULT_EMBEDDER(IX.sla_chunks(TB.tickets(spark, sf_small)), "text")
+    asked = IX.DEFAULT_EMBEDDER(TB.questions(spark, sf_small).withColumn("store", F.lit("sla")), "text")
+    pairs = spark.sparkContext.accumulator(0)
+    n = S.topk_sparse(asked, chunks, scored=pairs).count()
+    total = asked.count() * chunks.count()
+    print(f"scored {pairs.value} of {total} pairs")
+    assert n == 10 * asked.count() and 0 < pairs.value <= 0.1 * total
