@@ -15,18 +15,6 @@ from pyspark.sql import types as T
 
 from scrubsearch.functions import fixed
 
-SPAN = T.StructType([
-    T.StructField("s", T.IntegerType()),
-    T.StructField("e", T.IntegerType()),
-    T.StructField("entity", T.StringType()),
-    T.StructField("original", T.StringType()),
-])
-MERGED = T.StructType([
-    T.StructField("s", T.IntegerType()),
-    T.StructField("e", T.IntegerType()),
-    T.StructField("entity", T.StringType()),
-    T.StructField("len", T.IntegerType()),
-])
 PAIR = T.StructType([
     T.StructField("ph", T.StringType()),
     T.StructField("original", T.StringType()),
@@ -80,70 +68,12 @@ def luhn_ok(digits: Column) -> Column:
     return F.call_function("luhn_check", digits)
 
 
-def spans_of(text: Column, entity: str, pattern: str, luhn: bool = False) -> Column:
-    """ARRAY<STRUCT<s,e,entity,original>> of the matches of one detector.
-
-    Offsets come from running lengths of split pieces and matches, so they
-    equal a left-to-right finditer. Luhn-failing numbers are dropped here,
-    before any merge, so placeholder numbering has no gaps.
-    """
-    ms = matches(text, pattern)
-    z = F.arrays_zip(ms.alias("m"), pieces(text, pattern).alias("p"))
-    init = F.struct(F.lit(0).alias("pos"), _empty(SPAN).alias("out"))
-
-    def step(acc, x):
-        start = acc["pos"] + F.octet_length(x["p"])
-        end = start + F.octet_length(x["m"])
-        span = F.struct(start.cast("int").alias("s"), end.cast("int").alias("e"),
-                        F.lit(entity).alias("entity"), x["m"].alias("original"))
-        return F.struct(end.alias("pos"), F.when(x["m"].isNull(), acc["out"])
-                        .otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
-
-    out = F.aggregate(z, init, step, lambda acc: acc["out"])
-    if luhn:
-        out = F.filter(out, lambda x: luhn_ok(x["original"]))
-    return out
-
-
 def may_match(text: Column, entity: str) -> Column:
     """Cheap necessary condition for a detector to match (see DETECTOR_GUARD)."""
     lit = fixed.DETECTOR_GUARD.get(entity)
     return F.contains(text, F.lit(lit)) if lit else text.rlike("[0-9]")
 
 
-def detect_spans(text: Column, detectors) -> Column:
-    arrays = [F.when(may_match(text, ent), spans_of(text, ent, pat, luhn)).otherwise(_empty(SPAN))
-              for ent, pat, luhn in detectors]
-    return F.concat(*arrays) if len(arrays) > 1 else arrays[0]
-
-
-def merge_spans(spans: Column) -> Column:
-    """Sort spans by (s, e, entity, original) and union every overlap.
-
-    A span that starts before the running end joins the current group, whose
-    end becomes the larger of the two (deviation V2: nothing in a nested or
-    partly overlapping span is left in the clear). The entity of a group is
-    that of its longest member, the earliest on ties.
-    """
-    def step(acc, x):
-        n = F.size(acc)
-        last = F.get(acc, n - 1)
-        xlen = x["e"] - x["s"]
-        merged = F.struct(
-            last["s"].alias("s"),
-            F.greatest(last["e"], x["e"]).alias("e"),
-            F.when(xlen > last["len"], x["entity"]).otherwise(last["entity"]).alias("entity"),
-            F.greatest(last["len"], xlen).alias("len"),
-        )
-        fresh = F.struct(x["s"].alias("s"), x["e"].alias("e"), x["entity"].alias("entity"),
-                         xlen.cast("int").alias("len"))
-        return F.when((n > 0) & (x["s"] < last["e"]),
-                      F.concat(F.slice(acc, 1, n - 1), F.array(merged))
-                      ).otherwise(F.concat(acc, F.array(fresh)))
-
-    return F.aggregate(F.array_sort(spans), _empty(MERGED), step)
-
-
 def placeholder(prefix: str, scope: str, i: Column) -> Column:
     return F.concat(F.lit(prefix + scope), i.cast("string"), F.lit("__"))
 

@@ -1,8 +1,10 @@
 """Preserve, detect, resolve, anonymize with a mapping, redact, restore.
 
-The whole chain is per row, inside the JVM, with no shuffle (except the
-name dictionary join of A2b). Intermediate arrays are materialized as
-columns step by step so each regex runs once per row.
+The whole chain is per row, with no shuffle (except the join of a name
+dictionary too large to broadcast). Spans are found and united by one Arrow
+function over a batch of texts (functions.spans); masking, cutting and
+restoring are expressions inside the JVM. Intermediate arrays are materialized
+as columns step by step so each regex runs once per row.
 """
 
 from __future__ import annotations
@@ -11,7 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrubsearch.functions import columns as C
-from scrubsearch.functions import fixed
+from scrubsearch.functions import fixed, spans
+from scrubsearch.session import ship_package
+
+MAX_NAMES = 100_000  # names that are broadcast; more are joined to the texts by their first word
+_OUTER = r"^[\"'(\[]+|[\"'.,;:!?)\]]+$"
 
 
 def _blank(text: Column) -> Column:
@@ -36,8 +42,29 @@ def detectors_for(lang: str | None = None):
     return fixed.LANG_DETECTORS.get(lang, fixed.DETECTORS) if lang else fixed.DETECTORS
 
 
+def known_names(df: DataFrame, text: str, names: DataFrame, key: str | None, found: str):
+    """What ``spans.resolve_spans`` needs to find the names (column ``name``): (df, broadcast list, column of candidates).
+
+    Up to MAX_NAMES names are broadcast. More are joined: a text's distinct
+    words meet the first words of the names, and its row gets the names that
+    it may hold as column ``found``; ``key`` tells the rows apart."""
+    listed = names.select("name").where(F.length(F.trim("name")) > 0).distinct()
+    few = [r[0] for r in listed.limit(MAX_NAMES + 1).collect()]
+    if len(few) <= MAX_NAMES:
+        return df, df.sparkSession.sparkContext.broadcast(sorted(few)), None
+    if key is None:
+        raise ValueError("a dictionary of this size needs the key of the texts")
+    bare = lambda w: F.regexp_replace(w, _OUTER, "")
+    words = F.array_distinct(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+", -1), bare))
+    first = listed.withColumn("_word", bare(F.split(F.trim("name"), r"\s+", 2)[0]))
+    held = (df.select(key, F.explode_outer(words).alias("_word")).join(first, "_word")
+            .groupBy(key).agg(F.collect_set("name").alias(found)))
+    return df.join(held, key, "left"), None, F.col(found)
+
+
 def anonymize(df: DataFrame, text: str, out: str, scope: str = "", detectors=None,
-              escape: bool = True, labels: bool = False) -> DataFrame:
+              escape: bool = True, labels: bool = False, names: DataFrame | None = None,
+              key: str | None = None) -> DataFrame:
     """A1 + A2 + A3 + A4 + A9 (+ A10): reversible anonymization.
 
     Adds ``<out>`` (anonymized text), ``<out>_mapping``
@@ -45,8 +72,11 @@ def anonymize(df: DataFrame, text: str, out: str, scope: str = "", detectors=Non
     ``<out>_preserved`` ARRAY<STRUCT<ph, original>>. Placeholders are
     __PII_<scope><n>__ numbered by position from 0 (scope letter: deviation
     V1). With ``labels=True`` spans become ``<ENTITY>`` instead (A5).
+    ``names``: a dictionary (column ``name``) whose entries, of any number of
+    words, are hidden too, as PERSON (A2b); see ``known_names`` for ``key``.
     Null or empty text is returned unchanged with empty arrays (A10).
     """
+    ship_package(df.sparkSession)
     dets = list(detectors or fixed.DETECTORS)
     if escape and not labels:
         dets.append(fixed.PLACEHOLDER_DETECTOR)
@@ -55,7 +85,10 @@ def anonymize(df: DataFrame, text: str, out: str, scope: str = "", detectors=Non
     df = df.withColumn(ids_c, C.matches(t, fixed.PRESERVE))
     df = df.withColumn(masked_c, C.interleave(
         C.pieces(t, fixed.PRESERVE), F.transform(F.col(ids_c), lambda m, i: C.mask_token(i))))
-    df = df.withColumn(merged_c, C.merge_spans(C.detect_spans(F.col(masked_c), dets)))
+    shared = candidates = None
+    if names is not None:
+        df, shared, candidates = known_names(df, masked_c, names, key, f"_{out}_names")
+    df = df.withColumn(merged_c, spans.resolve_spans(F.col(masked_c), dets, shared, candidates))
     if labels:
         fill = lambda x, i: F.concat(F.lit("<"), x["entity"], F.lit(">"))
     else:
@@ -71,7 +104,7 @@ def anonymize(df: DataFrame, text: str, out: str, scope: str = "", detectors=Non
               C.unmask_preserved(y["o"], y["ids"]).alias("original"),
               y["x"]["entity"].alias("entity"))))
           .withColumn(f"{out}_preserved", C.preserved_pairs(ids, scope)))
-    return df.drop(ids_c, masked_c, merged_c, cut_c, orig_c)
+    return df.drop(ids_c, masked_c, merged_c, cut_c, orig_c, f"_{out}_names")
 
 
 def friendly_table(text: Column) -> Column:
@@ -133,8 +166,9 @@ def resolved_spans(df: DataFrame, key: str, text: str, detectors=None) -> DataFr
     t = F.coalesce(F.col(text), F.lit(""))
     masked, _ = C.mask_preserved(t)
     dets = list(detectors or fixed.DETECTORS) + [fixed.PLACEHOLDER_DETECTOR]
+    ship_package(df.sparkSession)
     merged = (df.select(key, masked.alias("_masked"))
-              .select(key, "_masked", C.merge_spans(C.detect_spans(F.col("_masked"), dets)).alias("m")))
+              .select(key, "_masked", spans.resolve_spans(F.col("_masked"), dets).alias("m")))
     ex = merged.select(key, "_masked", F.posexplode_outer("m").alias("n", "x")).where(F.col("x").isNotNull())
     s = C.char_offset(F.col("_masked"), F.col("x.s"))
     return ex.select(key, F.col("n").cast("long").alias("n"), s.cast("long").alias("s"),

@@ -476,6 +476,22 @@ def prompt_sla_q(spark: SparkSession, d: str) -> DataFrame:
     return _prompts(spark, d, "sla").select("query_id", *md5_len("prompt", "prompt"))
 
 
+# every name of the dictionary that the question or a retrieved chunk shows, and none of them in the prompt
+@register("prompt_names", _pipeline_sql("sla", """SELECT f.query_id, count(DISTINCT c.c_name) AS n_names,
+  CAST(0 AS BIGINT) AS n_leaked FROM (SELECT query_id, unnest(string_split_regex(context, '\\s+')) AS w FROM answered) f
+  LEFT JOIN customer c ON c.c_name = f.w GROUP BY f.query_id"""))
+def prompt_names_q(spark: SparkSession, d: str) -> DataFrame:
+    names = TB.names(spark, d)
+    p = PL.anonymized_prompts(TB.questions(spark, d), build(spark, d, ("sla",)), "sla", names=names)
+    words = lambda c: F.split(F.col(c), r"\s+", -1)
+    seen = p.select("query_id", F.explode(F.array_distinct(F.concat(
+        F.transform(words("context"), lambda w: F.struct(w.alias("name"), F.lit(False).alias("shown"))),
+        F.transform(words("prompt"), lambda w: F.struct(w.alias("name"), F.lit(True).alias("shown")))))).alias("w"))
+    listed = names.select("name").distinct().withColumn("known", F.lit(True))
+    return seen.select("query_id", "w.*").join(listed, "name", "left").groupBy("query_id").agg(
+        F.count_if(F.col("known") & ~F.col("shown")).alias("n_names"), F.count_if(F.col("known") & F.col("shown")).alias("n_leaked"))
+
+
 @register("merge_mappings", _pipeline_sql("sla", """SELECT id AS query_id, ph, original FROM (
   SELECT id, ph, original FROM ac_map UNION ALL SELECT id, ph, original FROM aq_map
   UNION ALL SELECT id, ph, original FROM ac_pres UNION ALL SELECT id, ph, original FROM aq_pres)"""))

@@ -1,9 +1,14 @@
 """A1-A14 goldens and properties."""
 
+import random
+import time
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from scrubsearch.functions import columns as C
-from scrubsearch.functions import fixed
+from scrubsearch.functions import fixed, spans
 from scrubsearch.operators import pii
 
 EMAIL, PHONE, IP = (next(d for d in fixed.DETECTORS if d[0] == n) for n in ("EMAIL_ADDRESS", "PHONE_NUMBER", "IP_ADDRESS"))
@@ -14,9 +19,9 @@ def _rows(spark, texts):
     return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
 
 
-def _merged(spark, spans):
-    df = spark.createDataFrame([(spans,)], "spans array<struct<s:int,e:int,entity:string,original:string>>")
-    return [(r.s, r.e) for r in df.select(C.merge_spans(F.col("spans")).alias("m")).first().m]
+def _merged(spark, listed):
+    df = spark.createDataFrame([(listed,)], "spans array<struct<s:int,e:int,entity:string,original:string>>")
+    return [(r.s, r.e) for r in df.select(spans.merge_spans(F.col("spans")).alias("m")).first().m]
 
 
 def test_merge_nested_and_partial_overlaps(spark):
@@ -29,8 +34,8 @@ def test_merge_nested_and_partial_overlaps(spark):
 def test_multi_detector_spans_are_merged(spark):
     text = "x 1.2.3.4@mail.com y +1 (555) 555-1234567890123 z"
     df = _rows(spark, [text])
-    spans = df.select(C.merge_spans(C.detect_spans(F.col("text"), [EMAIL, IP, PHONE, DIGITS_13_16])).alias("m")).first().m
-    assert [(r.s, r.e) for r in spans] == [(2, 18), (21, 47)]
+    found = df.select(spans.resolve_spans(F.col("text"), [EMAIL, IP, PHONE, DIGITS_13_16]).alias("m")).first().m
+    assert [(r.s, r.e) for r in found] == [(2, 18), (21, 47)]
     out = pii.anonymize(df, "text", "a", detectors=[EMAIL, IP, PHONE, DIGITS_13_16]).first()
     assert out.a == "x __PII_0__ y __PII_1__ z"
     assert [m.original for m in out.a_mapping] == ["1.2.3.4@mail.com", "+1 (555) 555-1234567890123"]
@@ -109,8 +114,8 @@ def test_title_case_matches_python(spark):
 
 def test_luhn_filter(spark):
     df = _rows(spark, ["card 4111111111111111 and 4111111111111112"])
-    got = df.select(C.spans_of(F.col("text"), "CREDIT_CARD", r"\b[0-9]{13,16}\b", True).alias("s")).first().s
-    assert [s.original for s in got] == ["4111111111111111"]
+    got = df.select(spans.resolve_spans(F.col("text"), [("CREDIT_CARD", r"\b[0-9]{13,16}\b", True)]).alias("s")).first().s
+    assert [(s.s, s.e, s.entity) for s in got] == [(5, 21, "CREDIT_CARD")]
 
 
 def test_names_dictionary(spark):
@@ -122,10 +127,68 @@ def test_names_dictionary(spark):
 
 def test_nested_spans_cut_to_one_placeholder(spark):
     text = "0123456789abcdefghij-rest"
-    for spans, want in [([(0, 20, "A", "x"), (5, 10, "B", "y")], "__PII_0__-rest"),
+    for listed, want in [([(0, 20, "A", "x"), (5, 10, "B", "y")], "__PII_0__-rest"),
                         ([(0, 10, "A", "x"), (5, 15, "B", "y")], "__PII_0__fghij-rest")]:
-        df = spark.createDataFrame([(text, spans)], "t string, spans array<struct<s:int,e:int,entity:string,original:string>>")
-        merged = C.merge_spans(F.col("spans"))
+        df = spark.createDataFrame([(text, listed)], "t string, spans array<struct<s:int,e:int,entity:string,original:string>>")
+        merged = spans.merge_spans(F.col("spans"))
         cut, originals = C.cut_spans(F.col("t"), merged, lambda x, i: C.placeholder(fixed.PII_PREFIX, "", i))
         r = df.select(cut.alias("c"), originals.alias("o")).first()
         assert r.c == want and "".join(r.o) + r.c[len("__PII_0__"):] == text
+
+
+def _fold(listed):
+    """Plain union of sorted spans."""
+    out = []
+    for s, e, kind in sorted(listed):
+        if out and s < out[-1][1]:
+            last = out[-1]
+            if e - s > last[3]:
+                last[2], last[3] = kind, e - s
+            last[1] = max(last[1], e)
+        else:
+            out.append([s, e, kind, e - s])
+    return [tuple(x) for x in out]
+
+
+def test_union_equals_a_fold():
+    rng = random.Random(2)
+    for _ in range(300):
+        rows = [[(s, s + rng.randint(1, 9), rng.randint(0, 3)) for s in (rng.randint(0, 60) for _ in range(rng.randint(0, 14)))]
+                for _ in range(rng.randint(1, 5))]
+        flat = np.array([(i, *x) for i, listed in enumerate(rows) for x in listed], np.int64).reshape(-1, 4).T
+        got = list(zip(*(c.tolist() for c in spans.union(*flat))))
+        assert got == [(i, *g) for i, listed in enumerate(rows) for g in _fold(listed)]
+
+
+def test_union_of_64000_spans_is_quick():
+    """A fold that copies its result would move two billion spans."""
+    start = np.arange(64_000) * 20
+    t = time.perf_counter()
+    row, s, _, _, _ = spans.union(np.zeros(64_000, np.int64), start, start + 9, np.zeros(64_000, np.int64))
+    assert len(row) == 64_000 and (s == start).all() and time.perf_counter() - t < 1
+
+
+def test_many_spans_in_one_text(spark):
+    text = " ".join(f"u{i}@x.org" for i in range(20_000))
+    r = pii.anonymize(_rows(spark, [text]), "text", "a").first()
+    assert len(r.a_mapping) == 20_000 and r.a.endswith(" __PII_19999__") and "@" not in r.a
+
+
+NAMES = ["Customer#000000001", "Ada Lovelace", "Maria de la Cruz", "Maria", "Jos\u00e9 N\u00fa\u00f1ez", "  ", ""]
+NAMED = ["assigned to Customer#000000001, cc Ada Lovelace.", "Customer#0000000012 xAda Lovelace", "(Maria de la Cruz)", "Maria de la",
+         "\u00bf Jos\u00e9 N\u00fa\u00f1ez?", "", None, "a@b.co Ada Lovelace a@b.co"]
+HIDDEN = ["assigned to __PII_0__, cc __PII_1__.", NAMED[1], "(__PII_0__)", "__PII_0__ de la", "\u00bf __PII_0__?", "", None,
+          "__PII_0__ __PII_1__ __PII_2__"]
+
+
+@pytest.mark.parametrize("most", [100, 0])
+def test_names_are_hidden(spark, monkeypatch, most):
+    """Names of any number of words, delimited; broadcast, and joined by the first word beyond the bound."""
+    monkeypatch.setattr(pii, "MAX_NAMES", most)
+    names = spark.createDataFrame([(n,) for n in NAMES + NAMES], "name string")
+    df = pii.anonymize(_rows(spark, NAMED), "text", "a", names=names, key="id")
+    assert "_a_names" not in df.columns
+    got = {r.id: r for r in pii.restore_pii(df, "a", ["a_mapping", "a_preserved"], "back").collect()}
+    assert [got[i].a for i in range(len(NAMED))] == HIDDEN
+    assert [got[i].back for i in range(len(NAMED))] == NAMED
+    assert {m.entity for m in got[0].a_mapping} == {"PERSON"}
