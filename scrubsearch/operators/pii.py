@@ -101,7 +101,8 @@ def anonymize(df: DataFrame, text: str, out: str, scope: str = "", detectors=Non
                         .otherwise(C.unmask_preserved(F.col(cut_c), ids)))
           .withColumn(f"{out}_mapping", F.transform(z, lambda y, i: F.struct(
               C.placeholder(fixed.PII_PREFIX, scope, i).alias("ph"),
-              C.unmask_preserved(y["o"], y["ids"]).alias("original"),
+              F.when(F.contains(y["o"], F.lit(fixed.MASK_OPEN)), C.unmask_preserved(y["o"], y["ids"]))
+              .otherwise(y["o"]).alias("original"),
               y["x"]["entity"].alias("entity"))))
           .withColumn(f"{out}_preserved", C.preserved_pairs(ids, scope)))
     return df.drop(ids_c, masked_c, merged_c, cut_c, orig_c, f"_{out}_names")

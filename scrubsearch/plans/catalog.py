@@ -15,10 +15,12 @@ from scrubsearch.functions import fixed
 from scrubsearch.operators import chunk as CH
 from scrubsearch.operators import find, pii
 from scrubsearch.operators import index as IX
+from scrubsearch.operators import quantize as VQ
 from scrubsearch.operators import search as S
 from scrubsearch.operators.answer import inject_ticket, prompt_sla, ticket_header
 from scrubsearch.operators.embed import embed_sparse
 from scrubsearch.operators.flatten import flatten_rows, pack_rows
+from scrubsearch.operators.versions import VersionedIndex
 from scrubsearch.plans import pipeline as PL
 from scrubsearch.session import scratch_dir
 from scrubsearch.sources import tables as TB
@@ -214,6 +216,44 @@ def topk_lsh_q(spark: SparkSession, d: str) -> DataFrame:
     return r.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
+def _vector_index(spark: SparkSession, d: str) -> VQ.VectorIndex:
+    e = _embeddings(spark, d)
+    return VQ.encode(e, VQ.fit(e))
+
+
+@register("topk_balls", O.dense_topk("l2"))
+def topk_balls_q(spark: SparkSession, d: str) -> DataFrame:
+    """R2, exact: the same rows as topk_l2, found by cells and the triangle inequality."""
+    r = VQ.topk_balls(_embeddings(spark, d), _vector_index(spark, d), qid="vec_id")
+    return r.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+@register("topk_quantized")
+def topk_quantized_q(spark: SparkSession, d: str) -> DataFrame:
+    """Product-quantized codes choose the pairs that are measured."""
+    r = VQ.topk_quantized(_embeddings(spark, d), _vector_index(spark, d), qid="vec_id")
+    return r.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+# the quantizer against exact search, in SQL against what must come out: every
+# query has its rows and at least nine tenths of the true neighbours, from at
+# most a tenth of the pairs, with exact scores
+@register("quantized_quality", f"""SELECT count(*) AS n_queries, CAST({fixed.TOP_K} * count(*) AS BIGINT) AS n_rows,
+  true AS recall_ok, true AS share_ok, CAST(0 AS BIGINT) AS n_wrong_scores FROM embeddings""")
+def quantized_quality_q(spark: SparkSession, d: str) -> DataFrame:
+    e, index = _embeddings(spark, d), _vector_index(spark, d)
+    found = VQ.topk_quantized(e, index, qid="vec_id")
+    exact = S.topk_dense(spark, e.withColumnRenamed("vec_id", "query_id"), e, metric="l2", qid="query_id")
+    both = found.select("query_id", "vec_id", F.round("score", 6).alias("score")).join(
+        exact.select("query_id", "vec_id", F.round("score", 6).alias("exact")), ["query_id", "vec_id"], "full")
+    pairs, n = VQ.candidates(e, index, qid="vec_id").count(), sum(index.sizes.values())
+    return both.agg(
+        F.countDistinct("query_id").alias("n_queries"), F.count("score").alias("n_rows"),
+        (F.count_if(F.col("score").isNotNull() & F.col("exact").isNotNull()) >= 0.9 * F.count("exact")).alias("recall_ok"),
+        F.lit(pairs <= 0.1 * n * n).alias("share_ok"),
+        F.count_if(F.abs(F.col("score") - F.col("exact")) > 1e-6).alias("n_wrong_scores"))
+
+
 def sla_chunks(spark: SparkSession, d: str) -> DataFrame:
     return IX.sla_chunks(TB.tickets(spark, d))
 
@@ -568,6 +608,37 @@ def index_append_q(spark: SparkSession, d: str) -> DataFrame:
     return _index_state(index)
 
 
+CHANGED = "CASE doc_id % 7 WHEN 2 THEN 'changed ' || coalesce(text, '') ELSE coalesce(text, '') END"
+VERSION_SQL = """SELECT {v} AS version, store, count(*) AS n_chunks, CAST(sum(length(text)) AS BIGINT) AS n_chars,
+  min(md5(text)) AS least, max(md5(text)) AS most FROM {t} GROUP BY store"""
+
+
+@register("index_upsert", O.with_(
+    *O.SLA_BASE, *O.KB_BASE, f"docs2 AS (SELECT doc_id, source, lang, {CHANGED} AS text FROM documents WHERE doc_id % 5 <> 3)",
+    O.KB_CHUNKS.replace("kb_chunks", "kb2_chunks").replace("FROM docs", "FROM docs2"),
+    "whole AS (SELECT * FROM kb_chunks UNION ALL SELECT * FROM sla_chunks)",
+    "second AS (SELECT * FROM kb2_chunks UNION ALL SELECT * FROM sla_chunks)") + " UNION ALL ".join(
+        " " + VERSION_SQL.format(v=v, t=t) for v, t in ((1, "kb_chunks"), (2, "second"), (3, "whole"), (4, "whole"))))
+def index_upsert_q(spark: SparkSession, d: str) -> DataFrame:
+    """K3: documents added, changed, deleted and added again; every version as it was read from the index."""
+    index = VersionedIndex(spark, scratch_dir(spark, "versions"))
+    docs = TB.documents(spark, d)
+    index.sync(kb_chunks(spark, d))
+    text = F.coalesce("text", F.lit(""))
+    changed = docs.where(F.col("doc_id") % 5 != 3).withColumn(
+        "text", F.when(F.col("doc_id") % 7 == 2, F.concat(F.lit("changed "), text)).otherwise(text))
+    index.sync(IX.kb_chunks(changed).unionByName(sla_chunks(spark, d)))
+    index.sync(kb_chunks(spark, d).unionByName(sla_chunks(spark, d)))
+    index.compact()
+    out = None
+    for v in index.versions():
+        one = index.open(v).chunks.groupBy(F.lit(v).alias("version"), "store").agg(
+            F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("text")).cast("long").alias("n_chars"),
+            F.min(F.md5("text")).alias("least"), F.max(F.md5("text")).alias("most"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @register("index_reuse", O.with_(*INDEX_SQL[:-2], "chunks AS (SELECT * FROM kb_chunks)", INDEX_SQL[-1]) + INDEX_STATE_SQL)
 def index_reuse_q(spark: SparkSession, d: str) -> DataFrame:
     """K2: the second opening finds the index and never asks for the tickets."""
