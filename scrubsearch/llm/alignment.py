@@ -27,6 +27,7 @@ else shuffled by pair, where adaptive execution splits hot ones).
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from scrubsearch.llm.common import store, worker_model
 from scrubsearch.llm.spiece import MODEL_FILE, SPACE, Remembered, read_model
 
 BYTE_BPE_FILE = "/opt/tokenizers/byte_bpe_50k.json"
-CACHE_UNITS = 60_000           # of a generation; two are kept
+CACHE_UNITS = 150_000          # of a generation; two are kept
 CACHE_UNIT_CHARS = 64
 MAX_BROADCAST_PAIRS = 1_000_000
 _CUT = re.compile(r"(?<=\S) ")
@@ -141,8 +142,8 @@ class Aligner:
             raise ValueError("a piece has the space mark inside; texts can't be cut into units")
         self.a_size = np.array(self.a.size)
         self.b_size = np.array([len(r) for r in self.b_raw])
-        self.a_text = [str(k) for k in range(len(self.a.raw))]
-        self.b_text = [str(k) for k in range(len(pieces))]
+        # an id and the sign after it: A before one of its side, A before B, B before its side, B at a group's end
+        self.spell = [f"{k}{sign}" for n, signs in ((len(self.a.raw), ",|"), (len(pieces), ",;")) for sign in signs for k in range(n)]
         self.units = Remembered(CACHE_UNITS)
 
     def pack(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -151,33 +152,43 @@ class Aligner:
 
     def learn(self, units: list[str]) -> list[tuple | None]:
         """(n_a, n_b, n_groups, groups, links) of each unit after a space; None where the bytes differ."""
-        a_ids = [self.a.encode(" " + u) for u in units]
+        spelled = [(" " + u).encode() for u in units]
+        a, a_count = self.a.encode_all([" " + u for u in units])
         b_ids = [ids if u else [self.mark] for u, ids in zip(units, self.sp.encode(units, num_threads=1))]
-        same = []
-        for u, a, b in zip(units, a_ids, b_ids):
-            want = (" " + u).encode()
-            same.append(self.a.decode(a.tolist()) == want and b"".join([self.b_raw[k] for k in b]) == want)
-        kept = [k for k, ok in enumerate(same) if ok]
+        b_count = np.array([len(ids) for ids in b_ids], np.int64)
+        b = np.fromiter(chain.from_iterable(b_ids), np.int64, int(b_count.sum()))
+        whole = b"".join(spelled)
+        if self.a.decode(a.tolist()) == whole == b"".join(map(self.b_raw.__getitem__, b.tolist())):
+            kept = list(range(len(units)))
+        else:
+            a_ids = np.split(a, np.cumsum(a_count)[:-1])
+            kept = [k for k, want in enumerate(spelled) if self.a.decode(a_ids[k].tolist()) == want
+                    and b"".join([self.b_raw[i] for i in b_ids[k]]) == want]
+            a = np.concatenate([np.empty(0, np.int64), *[a_ids[k] for k in kept]])
+            b = np.array([i for k in kept for i in b_ids[k]], np.int64)
+            a_count, b_count = a_count[kept], b_count[kept]
         out: list[tuple | None] = [None] * len(units)
         if not kept:
             return out
         # one pair of matrices for all of them; every unit ends a group
-        a = np.concatenate([a_ids[k] for k in kept]).astype(np.int64)
-        b = np.array([i for k in kept for i in b_ids[k]], np.int64)
         a_group, b_group, n = group_numbers(self.a_size[a], self.b_size[b])
         row, col = group_links(a_group, b_group, n)
         links = self.pack(a[row], b[col])
-        a_cut, b_cut = (np.searchsorted(g, np.arange(n + 1)).tolist() for g in (a_group, b_group))
-        a_text, b_text = [self.a_text[i] for i in a.tolist()], [self.b_text[i] for i in b.tolist()]
-        a_ends = np.cumsum([len(a_ids[k]) for k in kept])
-        group_ends = (a_group[a_ends - 1] + 1).tolist()
+        a_cut, b_cut = (np.searchsorted(g, np.arange(n + 1)) for g in (a_group, b_group))
+        # in the order of the groups text each token stands with the sign that follows it
+        order = np.empty(len(a) + len(b), np.int64)
+        n_a, n_b = len(self.a.raw), len(self.b_raw)
+        order[np.arange(len(a)) + b_cut[a_group]] = a + n_a * (np.arange(1, len(a) + 1) == a_cut[a_group + 1])
+        order[np.arange(len(b)) + a_cut[b_group + 1]] = 2 * n_a + b + n_b * (np.arange(1, len(b) + 1) == b_cut[b_group + 1])
+        parts = list(map(self.spell.__getitem__, order.tolist()))
+        a_ends, b_ends = np.cumsum(a_count), np.cumsum(b_count)
+        group_ends = a_group[a_ends - 1] + 1
         link_ends = np.searchsorted(row, a_ends).tolist()
-        g0 = l0 = 0
-        for k, g1, l1 in zip(kept, group_ends, link_ends):
-            spelled = ";".join([",".join(a_text[a_cut[g]:a_cut[g + 1]]) + "|" + ",".join(b_text[b_cut[g]:b_cut[g + 1]])
-                                for g in range(g0, g1)])
-            out[k] = (a_cut[g1] - a_cut[g0], b_cut[g1] - b_cut[g0], g1 - g0, spelled, links[l0:l1].tobytes())
-            g0, l0 = g1, l1
+        p0 = l0 = 0
+        for k, i, j, g, p1, l1 in zip(kept, a_count.tolist(), b_count.tolist(), np.diff(group_ends, prepend=0).tolist(),
+                                      (a_ends + b_ends).tolist(), link_ends):
+            out[k] = (i, j, g, "".join(parts[p0:p1])[:-1], links[l0:l1].tobytes())
+            p0, l0 = p1, l1
         return out
 
     def align(self, texts: list[str]) -> list[list[tuple] | None]:

@@ -189,7 +189,19 @@ class Ranks:
             out.append(self._run(run))
         return np.frombuffer(b"".join(out), np.int32)
 
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many short texts, one after another, and how many each has."""
+        words = list(map(self.split.findall, texts))
+        parts = self._parts([w for x in words for w in x])
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        ends = np.cumsum([0, *map(len, words)])
+        counts = np.concatenate([[0], np.cumsum(sizes)])[ends]
+        return np.frombuffer(b"".join(parts), np.int32).astype(np.int64), np.diff(counts)
+
     def _run(self, words: list[str]) -> bytes:
+        return b"".join(self._parts(words))
+
+    def _parts(self, words: list[str]) -> list[bytes]:
         cache = self.words
         out = list(map(cache.young.get, words))
         for k in [k for k, ids in enumerate(out) if ids is None]:
@@ -201,7 +213,7 @@ class Ranks:
                 if len(word) <= CACHE_WORD_CHARS:
                     cache.put(word, ids)
             out[k] = ids
-        return b"".join(out)
+        return out
 
     def decode(self, ids) -> bytes:
         """The bytes of ids."""
