@@ -4,13 +4,17 @@ The markup is stripped into lines, one per block element, in page order. Every
 line has a weight: its characters outside links, or 0 when it lies in page
 furniture (menus, headers, footers, sidebars, notices, adverts, forms, reader
 comments; told by element, role, class and id). The weights are summed over
-sliding windows of ``WINDOW`` lines. The text begins at the line where the sums
-surge and ends where they dive; what lies between is kept, furniture apart.
+sliding windows of ``WINDOW`` lines, on every page. A text begins at the line
+where the sums surge and ends where they dive to nothing; what lies between is
+kept, lines that are all link included. Lines that no window reaches, link
+lists above all, are dropped.
 
-On a page that marks articles or a main part, all their lines outside furniture
-are kept, whichever of them holds text. On a page without marks the windows run
-over the lines outside furniture, and all stretches that surge are kept, from
-the short lines that lead up to the surge on.
+Marks of articles and of a main part only add to that: inside one that holds
+text, link lines are text too. A page may hold both, a small marked card and a
+body without marks.
+
+The time is linear in the page, whatever its markup: tags end at the next "<",
+open elements are found by name, and what an element lies in is a shared chain.
 """
 
 from __future__ import annotations
@@ -23,10 +27,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrubsearch.llm.common import as_text, map_rows
+from scrubsearch.llm.common import as_text, fresh, map_rows
 
 WINDOW = 3
-SURGE_CHARS = 40       # of a window, on pages that mark no article
 
 # Fixed: elements by their role in a page.
 SKIPPED = {"script", "style", "noscript", "template", "textarea", "select", "svg", "math", "iframe",
@@ -57,9 +60,9 @@ STATES = {"has", "with", "no", "without", "is", "not", "js", "tag", "category",
 TAILS = {"list", "links", "buttons", "posts", "items", "slot", "unit", "area", "box", "block", "form", "bar"}
 
 _TAG = re.compile(
-    r"<!--(?:.*?-->|.*)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
+    r"<!--(?:.*?-->|.*)|<[!?][^<>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
     re.DOTALL)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTR = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -120,10 +123,12 @@ def _lines(page: str, spared: frozenset[int]) -> tuple[list[Line], frozenset[int
     """Lines with the elements at ``spared`` not judged by class; where elements
     that are so judged begin, around or at a main, and an article."""
     lines: list[Line] = []
-    # Open elements: name, furniture, article, main, those judged by class around its text.
-    stack: list[tuple[str, bool, int, int, frozenset[int]]] = []
-    around_main: frozenset[int] = frozenset()
-    around: frozenset[int] = frozenset()
+    # Open elements: name, furniture, article, main, and the chain (where, outer chain) of those
+    # judged by class around its text. Where each name is open: places in the stack, ascending.
+    stack: list[tuple[str, bool, int, int, tuple | None]] = []
+    places: dict[str, list[int]] = {}
+    around_main: set[int] = set()
+    around: set[int] = set()
     words: list[str] = []
     chars = articles = mains = 0
     in_link = hidden_p = False
@@ -134,7 +139,7 @@ def _lines(page: str, spared: frozenset[int]) -> tuple[list[Line], frozenset[int
         text = " ".join("".join(words).split())
         words = []
         if text:
-            _, furniture, article, main, _ = stack[-1] if stack else ("", False, 0, 0, frozenset())
+            _, furniture, article, main, _ = stack[-1] if stack else ("", False, 0, 0, None)
             furniture = furniture or hidden_p
             lines.append((text, 0 if furniture else chars, furniture, article, main))
         chars = 0
@@ -147,6 +152,19 @@ def _lines(page: str, spared: frozenset[int]) -> tuple[list[Line], frozenset[int
             if not in_link:
                 chars += len(piece.strip())
 
+    def close(k: int) -> None:
+        """Close the element at place k and all inside it."""
+        while len(stack) > k:
+            places[stack.pop()[0]].pop()
+
+    def innermost(names: set[str]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
+
+    def mark(found: set[int], chain: tuple | None) -> None:
+        while chain is not None and chain[0] not in found:  # what is in it has its outer ones in it
+            found.add(chain[0])
+            chain = chain[1]
+
     while at < end:
         m = _TAG.search(page, at)
         if m is None:
@@ -168,15 +186,13 @@ def _lines(page: str, spared: frozenset[int]) -> tuple[list[Line], frozenset[int
             flush()
             hidden_p = in_link = False
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if places.get(name):
+                close(places[name][-1])
             continue
         if name in SKIPPED:
             if not attrs.rstrip().endswith("/"):
-                close = lower.find(f"</{name}", at)
-                at = end if close < 0 else close
+                over = lower.find(f"</{name}", at)
+                at = end if over < 0 else over
                 stop = page.find(">", at)
                 at = end if stop < 0 else stop + 1
             continue
@@ -192,19 +208,15 @@ def _lines(page: str, spared: frozenset[int]) -> tuple[list[Line], frozenset[int
         elif block or furniture:
             if name in ENDS:
                 which, inside = ENDS[name]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in inside:
-                        break
-                    if stack[k][0] in which:
-                        del stack[k:]
-                        break
-            _, outer, article, main, judged = stack[-1] if stack else ("", False, 0, 0, frozenset())
+                if innermost(which) > innermost(inside):
+                    close(innermost(which))
+            _, outer, article, main, judged = stack[-1] if stack else ("", False, 0, 0, None)
             if word and not hard:
-                judged |= {m.start()}
+                judged = (m.start(), judged)
             if is_main:
-                around_main |= judged
+                mark(around_main, judged)
             if name == "article":
-                around |= judged
+                mark(around, judged)
             if name == "article" and not outer:
                 articles += 1
                 article = article or articles  # an article inside another is part of it
@@ -212,18 +224,18 @@ def _lines(page: str, spared: frozenset[int]) -> tuple[list[Line], frozenset[int
                 mains += 1
                 main = main or mains
             if name != "body" and name != "html":
+                places.setdefault(name, []).append(len(stack))
                 stack.append((name, outer or furniture, article, main, judged))
     flush()
-    return lines, around_main, around
+    return lines, frozenset(around_main), frozenset(around)
 
 
-def stretches(weights: np.ndarray, surge: float) -> list[tuple[int, int]]:
-    """[first, last) of the runs of lines whose windows reach ``surge``.
+def stretches(weights: np.ndarray) -> list[tuple[int, int]]:
+    """[first, last) of the runs of lines between a surge and a dive.
 
     A window is the sum of ``WINDOW`` lines around a line. A stretch reaches from
-    its surge both ways to where the windows dive to nothing, and is trimmed to
-    lines with weight.
-    """
+    where the windows rise above nothing to where they dive to nothing, and is
+    trimmed to lines with weight."""
     n = len(weights)
     if not n:
         return []
@@ -235,8 +247,7 @@ def stretches(weights: np.ndarray, surge: float) -> list[tuple[int, int]]:
     out = []
     for begin, stop in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
         full = np.flatnonzero(weights[begin:stop])
-        if window[begin:stop].max() >= surge:
-            out.append((begin + int(full[0]), begin + int(full[-1]) + 1))
+        out.append((begin + int(full[0]), begin + int(full[-1]) + 1))
     return out
 
 
@@ -247,15 +258,12 @@ def main_text(page: str) -> str:
         return ""
     weights = np.array([line[1] for line in lines], np.int64)
     kept = np.zeros(len(lines), bool)
+    for begin, stop in stretches(weights):
+        kept[begin:stop] = True
     for column in (3, 4):
-        # Every article and main part with text, lines that are all link included:
-        # inside they are text, not a menu.
+        # inside an article or main part with text, lines that are all link are text, not a menu
         owner = np.array([line[column] for line in lines], np.int64)
         kept |= (owner > 0) & (np.bincount(owner, weights=weights) > 0)[owner]
-    if not kept.any():
-        largest = np.convolve(weights, np.ones(WINDOW, np.int64)).max()
-        for begin, stop in stretches(weights, max(1, min(SURGE_CHARS, largest))):
-            kept[begin:stop] = True
     return "\n".join(line[0] for line, k in zip(lines, kept, strict=True) if k)
 
 
@@ -269,10 +277,11 @@ def extract_text(pages: DataFrame, html: str = "html", keep: list[str] = ()) ->
     kept = [c for c in keep if c not in ("text", "n_chars")]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        texts = [main_text(as_text(h)) for h in frame["_html"]]
+        texts = [main_text(as_text(h)) for h in frame[source]]
         return frame[kept].assign(text=texts, n_chars=[len(t) for t in texts])
 
-    cols = pages.select(*[pages[c] for c in kept], F.col(html).alias("_html"))
+    source, = fresh(pages, "_html")
+    cols = pages.select(*[pages[c] for c in kept], F.col(html).alias(source))
     schema = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept),
                         "text string", "n_chars long"])
     return map_rows(cols, run, schema)
