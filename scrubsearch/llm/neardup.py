@@ -126,6 +126,11 @@ def _differing(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: groups(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
+def fingerprint(shingles: np.ndarray) -> bytes:
+    """128 bits of a set of shingles."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def signatures(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
     """doc_id, n_shingles, fp, sig, bands of every row; the last three null without words."""
 
@@ -135,8 +140,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
             s = shingle_set(as_text(t), n)
             if len(s):
                 mins = minima(s)
-                out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(),
-                            pack(mins), band_keys(mins)))
+                out.append((len(s), fingerprint(s), pack(mins), band_keys(mins)))
             else:
                 out.append((0, None, None, None))
         got = pd.DataFrame(out, columns=["n_shingles", "fp", "sig", "bands"])
@@ -340,9 +344,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     table = cut(signatures(docs, doc_id, text, shingle_words))
     classes = table.where("fp IS NOT NULL AND doc_id IS NOT NULL")
+    # a node is a set of shingles, numbered by its fingerprint: an id with several texts has several
     reps = cut(classes.groupBy("fp").agg(
-        F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("weight"),
-        F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands")))
+        F.min("doc_id").alias("first"), F.any_value("n_shingles").alias("weight"),
+        F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands"))
+        .withColumn("node", F.xxhash64("fp")))
 
     members = reps.select("node", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(
@@ -355,21 +361,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     star = large.select(F.explode(F.array(
         F.struct(F.col("lo").alias("a"), F.col("node").alias("b")),
         F.struct(F.col("node").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*").where("a <> b")
-    one_per_node = reps.groupBy("node").agg(F.any_value("sig").alias("sig"), F.max("weight").alias("weight"))
+    one_per_node = reps.select("node", "sig", "weight")
     pairs = cut(_estimated(small.unionByName(star).distinct(), one_per_node, percent))
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        """Full sets of the given nodes (distinct), hashed again from their texts."""
-        ids = cut(ids)
-        few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-        cols = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("text"))
-        wanted = cols.join(F.broadcast(ids) if few else ids, "node")
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """Full sets of the given nodes (distinct), hashed again from a text of each."""
+        wanted = cut(nodes.join(reps.select("node", "first"), "node"))
+        few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        ids = wanted.select("first").distinct()
+        cols = docs.select(F.col(doc_id).cast("long").alias("first"), F.col(text).alias("text"))
+        cols = cols.join(F.broadcast(ids) if few else ids, "first")
 
         def run(frame: pd.DataFrame) -> pd.DataFrame:
-            sets = [shingle_set(as_text(t), shingle_words).tobytes() for t in frame["text"]]
-            return pd.DataFrame({"node": frame["node"], "set": sets})
+            sets = [shingle_set(as_text(t), shingle_words) for t in frame["text"]]
+            return pd.DataFrame({"fp": [fingerprint(x) for x in sets], "set": [x.tobytes() for x in sets]})
 
-        return map_rows(wanted, run, "node long, set binary")
+        # other texts of those ids have other fingerprints; copies are one
+        found = map_rows(cols, run, "fp binary, set binary").withColumn("node", F.xxhash64("fp"))
+        return found.join(wanted.select("node"), "node").groupBy("node").agg(F.any_value("set").alias("set"))
 
     # The best candidate of each document first: most groups are whole after it.
     ends = pairs.select("a", "b", "est", F.explode(F.array("a", "b")).alias("node"))
@@ -396,16 +405,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         links = cut(links.unionByName(_finish(nodes, sets_of(nodes.select("node")), percent)))
         labels = connected(links)
 
-    # Documents of a class follow its representative; an id with several texts
-    # ties their components together.
+    # An id with several texts ties their components together.
     own = classes.join(reps.select("fp", "node"), "fp").select("doc_id", "node")
-    several = own.groupBy("doc_id").agg(F.countDistinct("node").alias("k")).where("k > 1")
+    several = own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
     if several.limit(1).count():
-        extra = own.join(several, "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+        extra = own.join(several, "doc_id").select("a", F.col("node").alias("b")).where("a <> b").distinct()
         labels = connected(links.unionByName(extra))
-    out = table.join(reps.select("fp", "node"), "fp", "left").join(labels, "node", "left")
-    component = F.coalesce("comp", "node", "doc_id")
-    component = F.when(F.col("doc_id").isNotNull(), component)
+    placed = reps.select("fp", "node", "first").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    smallest = placed.groupBy("comp").agg(F.min("first").alias("component_id"))
+    out = table.join(placed.join(smallest, "comp").select("fp", "component_id"), "fp", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
@@ -413,7 +422,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, with the columns of ``docs``, of which one per group stays.
 
-    Of rows that repeat a kept id one stays; rows without id all stay.
+    Of rows that repeat a kept id the one with the smallest digest of all its
+    values stays; rows without id all stay.
     """
     found = cut(near_duplicates(docs, doc_id, text, **options).select("doc_id", "kept"))
     gone = found.where("NOT kept").select("doc_id").distinct()
@@ -422,8 +432,11 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     rows = docs.withColumn(key, F.col(doc_id).cast("long"))
     gone = gone.withColumnRenamed("doc_id", "_nd_gone")
     rows = rows.join(F.broadcast(gone) if few else gone, rows[key] == F.col("_nd_gone"), "left_anti")
-    repeated = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    repeated = cut(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+                   .select(F.col("doc_id").alias("_nd_twice")))
     if repeated.limit(1).count():
-        rows = (rows.where(F.col(key).isNotNull()).dropDuplicates([key])
-                .unionByName(rows.where(F.col(key).isNull())))
+        again = rows.join(repeated, rows[key] == F.col("_nd_twice"), "left_semi")
+        whole = F.struct(*[F.col(c) for c in rows.columns])
+        one = again.groupBy(key).agg(F.min_by(whole, F.md5(F.to_json(whole))).alias("_nd_row")).select("_nd_row.*")
+        rows = rows.join(repeated, rows[key] == F.col("_nd_twice"), "left_anti").unionByName(one)
     return rows.select([rows[c] for c in docs.columns])
