@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubsearch.llm.common import as_text, map_rows
+from scrubsearch.llm.common import as_text, cut, drawn_part, map_rows
 
 EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 8, 8, 2, 24, 16
 CHUNK, OVERLAP = 512, 64
@@ -149,20 +149,24 @@ def held_out(doc_id: Column) -> Column:
 
 def sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
            label: str = "quality", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
-    """Texts and labels of about ``rows`` labelled rows outside the held-out fold.
+    """Texts and labels of about ``rows`` labelled documents outside the held-out fold.
 
-    Chosen by a hash of the id, so reruns agree; null ids, texts and labels are
-    left out; of several labels of an id the smallest holds.
+    Chosen by a hash of the id, so reruns agree. Null ids, texts and labels are
+    left out; of several labels of an id the smallest holds, of several texts
+    the one with the smallest digest. Of a long text the sample has runs from
+    all over it (``drawn_part``). ``rows`` and ``chars`` bound the sample.
     """
-    known = (labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("y"))
-             .where(F.col("id").isNotNull() & F.col("y").isin(0, 1)).where(~held_out(F.col("id")))
-             .groupBy("id").agg(F.min("y").alias("y")))
-    cells, n = 1 << 30, max(1, labels.count())
-    share = int(min(1.0, rows / (0.8 * n)) * cells)
-    picked = known.where(F.pmod(F.xxhash64("id"), F.lit(cells)) < share).limit(2 * rows)
-    got = (docs.select(F.col(doc_id).cast("long").alias("id"), F.substring(F.col(text), 1, chars).alias("t"))
-           .where("t IS NOT NULL").join(F.broadcast(picked), "id").limit(4 * rows).collect())
-    got.sort(key=lambda r: (r["id"], r["t"]))
+    known = cut(labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("y"))
+                .where(F.col("id").isNotNull() & F.col("y").isin(0, 1)).where(~held_out(F.col("id")))
+                .groupBy("id").agg(F.min("y").alias("y")))
+    cells, n = 1 << 30, max(1, known.count())
+    share = int(min(1.0, rows / n) * cells)
+    picked = known.where(F.pmod(F.xxhash64("id"), F.lit(cells)) < share)  # rows of them, give or take a root
+    got = (docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
+           .where("t IS NOT NULL").join(F.broadcast(picked), "id")
+           .groupBy("id", "y").agg(F.min(F.struct(F.md5("t").alias("d"), drawn_part(F.col("t"), chars).alias("t"))).alias("x"))
+           .select("id", "y", "x.t").collect())
+    got.sort(key=lambda r: r["id"])
     return [r["t"] for r in got], [r["y"] for r in got]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
@@ -67,6 +67,21 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+PIECES = 4
+
+
+def drawn_part(text: Column, chars: int) -> Column:
+    """At most about ``chars`` characters of a text for a training sample, from all over it.
+
+    A longer text gives PIECES runs of equal length, one from each of its
+    PIECES equal stretches, at a place that a hash of the text chooses."""
+    size = chars // PIECES
+    room = F.floor(F.length(text) / F.lit(PIECES)).cast("int")
+    runs = [text.substr(room * i + F.pmod(F.xxhash64(text, F.lit(i)), F.greatest(room - size, F.lit(0)) + 1).cast("int") + 1,
+                        F.lit(size)) for i in range(PIECES)]
+    return F.when(text.isNull() | (F.length(text) <= chars), text).otherwise(F.concat_ws("\n", *runs))
+
+
 def lookup(df: DataFrame, table: DataFrame, on: str, max_broadcast_rows: int = 100_000) -> DataFrame:
     """Left-join a one-row-per-key table, broadcasting it only while it is small.
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubsearch.llm.common import as_text, cut, fresh, lookup
+from scrubsearch.llm.common import as_text, cut, drawn_part, fresh, lookup
 
 UNKNOWN = "und"
 SAMPLE_ROWS = 8_000       # tagged rows to learn trigrams from, about, dealt among the tags
@@ -118,7 +118,7 @@ def train_text_model(df: DataFrame, text: str, tag: str, rows: int = SAMPLE_ROWS
                   for t, q in quotas.items()]
         table = df.sparkSession.createDataFrame(limits, "tag string, below long")
         picked = (tagged.join(F.broadcast(table), "tag").where(F.col("cell") < F.col("below"))
-                  .groupBy("tag", "cell").agg(F.min(F.substring("text", 1, chars)).alias("text")).collect())
+                  .groupBy("tag", "cell").agg(F.min(drawn_part(F.col("text"), chars)).alias("text")).collect())
         for row in sorted(picked, key=lambda r: (r["tag"], r["cell"])):
             if quotas[row["tag"]] > 0:
                 quotas[row["tag"]] -= 1
