@@ -9,9 +9,9 @@ where the sums surge and ends where they dive to nothing; what lies between is
 kept, lines that are all link included. Lines that no window reaches, link
 lists above all, are dropped.
 
-Marks of articles and of a main part only add to that: inside one that holds
-text, link lines are text too. A page may hold both, a small marked card and a
-body without marks.
+Marks of articles and of a main part are weighed against that. Where the marked
+parts hold more than the stretches outside them, they are the text, link lines
+included; else (a small marked card beside a body without marks) both are kept.
 
 The time is linear in the page, whatever its markup: tags end at the next "<",
 open elements are found by name, and what an element lies in is a shared chain.
@@ -257,13 +257,15 @@ def main_text(page: str) -> str:
     if not lines:
         return ""
     weights = np.array([line[1] for line in lines], np.int64)
-    kept = np.zeros(len(lines), bool)
+    between, marked = np.zeros(len(lines), bool), np.zeros(len(lines), bool)
     for begin, stop in stretches(weights):
-        kept[begin:stop] = True
+        between[begin:stop] = True
     for column in (3, 4):
         # inside an article or main part with text, lines that are all link are text, not a menu
         owner = np.array([line[column] for line in lines], np.int64)
-        kept |= (owner > 0) & (np.bincount(owner, weights=weights) > 0)[owner]
+        marked |= (owner > 0) & (np.bincount(owner, weights=weights) > 0)[owner]
+    outside = weights[between & ~marked].sum()
+    kept = marked if weights[marked].sum() > outside else between | marked
     return "\n".join(line[0] for line, k in zip(lines, kept, strict=True) if k)
 
 
