@@ -673,10 +673,57 @@ def xlsx_ticket_scan_q(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("text")
 
 
-@register("ingest_errors")
+# every fifth workbook is cut short, is no workbook, or has a broken sheet
+PLANTED_SQL = """files AS (SELECT printf('tickets-%06d.xlsx', row_no // 500) AS file, count(*) AS n, (row_no // 500) % 5 AS kind
+  FROM tickets GROUP BY row_no // 500),
+entries AS (SELECT file, CASE WHEN kind IN (1, 2, 3) THEN 0 ELSE n END AS n_rows,
+  CASE kind WHEN 1 THEN 'BadZipFile' WHEN 2 THEN 'BadZipFile' WHEN 3 THEN 'ParseError' END AS error FROM files)"""
+
+
+def _planted_folder(spark: SparkSession, d: str) -> str:
+    """One workbook for each run of 500 ticket numbers, some of them broken."""
+    from scrubsearch.sources import xlsx
+
+    folder = scratch_dir(spark, "planted")
+    t = TB.tickets(spark, d).withColumn("file", F.floor(F.col("row_no") / 500).cast("long"))
+    xlsx.write_numbered(t, TB.TICKET_COLUMNS, "file", "row_no", folder, {1: "cut", 2: "text", 3: "sheet"})
+    return folder
+
+
+def _ledger_entries(df: DataFrame) -> DataFrame:
+    return df.select(F.element_at(F.split("path", "/"), -1).alias("file"), "n_rows",
+                     F.element_at(F.split("error", ":"), 1).alias("error"))
+
+
+@register("ingest_ledger", O.with_(O.TICKETS, PLANTED_SQL) + " SELECT * FROM entries")
+def ingest_ledger_q(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger after two runs over one folder; the second finds nothing new."""
+    from scrubsearch.sources import ledger
+
+    folder, table = _planted_folder(spark, d), scratch_dir(spark, "ingested")
+    for _ in range(2):
+        ledger.ingest(spark, folder, table)
+    return _ledger_entries(ledger.ledger(spark, table))
+
+
+@register("ingest_errors", O.with_(O.TICKETS, PLANTED_SQL) + " SELECT file, n_rows, error FROM entries WHERE error IS NOT NULL")
 def ingest_errors_q(spark: SparkSession, d: str) -> DataFrame:
-    _, errors = _workbook_rows(spark, d)
-    return errors
+    """The quarantined files."""
+    from scrubsearch.sources import ledger
+
+    table = scratch_dir(spark, "ingested")
+    return _ledger_entries(ledger.ingest(spark, _planted_folder(spark, d), table).where("error IS NOT NULL"))
+
+
+@register("ingest_rows", O.with_(O.TICKETS, PLANTED_SQL) + f""" SELECT {O.flatten_expr(O.TICKET_COLUMNS)} AS text FROM tickets
+  WHERE (row_no // 500) % 5 NOT IN (1, 2, 3)""")
+def ingest_rows_q(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of all files that could be read, none twice."""
+    from scrubsearch.sources import ledger
+
+    table = scratch_dir(spark, "ingested")
+    ledger.ingest(spark, _planted_folder(spark, d), table)
+    return ledger.rows(spark, table).select("text")
 
 
 @register("stream_answers", _pipeline_sql("kb", "SELECT query_id, ticket_id, " + sql_md5_len("final", "final") + " FROM final"))
