@@ -262,3 +262,22 @@ def test_ticket_search_scores_few_pairs(spark, sf_small):
     total = asked.count() * chunks.count()
     print(f"scored {pairs.value} of {total} pairs")
     assert n == 10 * asked.count() and 0 < pairs.value <= 0.1 * total
+
+
+def test_lsh_pairs_are_not_joined(spark):
+    """Pairs are made inside a task, not joined with their vectors; repeated ids, nulls and parts of any size keep their rows."""
+    rng = np.random.default_rng(3)
+    vectors = {i: [float(x) for x in rng.normal(size=4)] for i in range(60)}
+    rows = [*vectors.items(), (5, vectors[5]), (60, None), (61, [0.1, None, 0.0, 0.0]), (None, [9.0] * 4)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = e.withColumnRenamed("vec_id", "query_id")
+    whole, cut = (S.topk_lsh(q, e, k=5, width=1e6, block_rows=b, part_rows=p) for b, p in ((8192, 4096), (9, 7)))
+    assert "Join" not in whole._jdf.queryExecution().executedPlan().toString()
+    rows = sorted(map(str, whole.collect()))
+    assert rows == sorted(map(str, cut.collect()))
+    found = {(r["query_id"], r["rank"]): r["vec_id"] for r in whole.where("score IS NOT NULL").collect()}
+    everyone = {**vectors, None: [9.0] * 4}
+    for i, v in vectors.items():
+        near = sorted((sum((a - b) ** 2 for a, b in zip(v, w)), -1 if j is None else j) for j, w in everyone.items())
+        mine = [j for (at, _), j in sorted(((k, j) for k, j in found.items() if k[0] == i), key=lambda x: x[0][1])]
+        assert mine == [j for _, j in near[:len(mine)]] and len(mine) >= 3
