@@ -281,3 +281,59 @@ def test_lsh_pairs_are_not_joined(spark):
         near = sorted((sum((a - b) ** 2 for a, b in zip(v, w)), -1 if j is None else j) for j, w in everyone.items())
         mine = [j for (at, _), j in sorted(((k, j) for k, j in found.items() if k[0] == i), key=lambda x: x[0][1])]
         assert mine == [j for _, j in near[:len(mine)]] and len(mine) >= 3
+
+
+def test_sparse_parts_go_only_to_blocks_that_visit_them(spark):
+    """A chunk is sent once for each block of queries that visit its part, not for each block there is."""
+    n = 256
+    queries = _vectors(spark, [(i, f"own{i} w{i % 7}") for i in range(n)], "query_id")
+    chunks = _vectors(spark, [(f"k{i:03d}", f"own{i} w{i % 7} filler{i}") for i in range(n)], "chunk_key")
+    sent = spark.sparkContext.accumulator(0)
+    real = sparse.light_best
+
+    def counted(light, dense, parts, heavy, floor, k):
+        sent.add(len(parts[3]))
+        return real(light, dense, parts, heavy, floor, k)
+
+    sparse.light_best = counted
+    try:
+        # own tokens are light (one chunk), w tokens heavy: a query visits one part
+        got = sparse.topk_sparse(queries, chunks, 2, query_rows=8, chunk_rows=8, heavy_share=0.0, heavy_min=8)
+        first = {r["query_id"]: r["chunk_key"] for r in got.where("rank = 1").collect()}
+    finally:
+        sparse.light_best = real
+    assert first == {i: f"k{i:03d}" for i in range(n)}
+    assert 0 < sent.value <= 4 * n  # 32 blocks: 32 * n before
+
+
+def test_sparse_dense_rows_equal_pairs():
+    """Light pairs added up in whole rows or one by one: the same pairs and scores."""
+    rng = np.random.default_rng(5)
+
+    def vectors(n):
+        rows = [np.sort(rng.choice(40, 8, replace=False)) for _ in range(n)]
+        counts = rng.integers(1, 4, 8 * n)
+        norm = (counts.reshape(n, 8) ** 2).sum(axis=1).astype(float)
+        return np.concatenate(rows), counts, np.repeat(np.arange(n), 8), norm
+
+    heavy = np.arange(10)
+    (qb, qt, q_row, qn), chunks = vectors(300), vectors(90)
+    h = np.isin(qb, heavy)
+    args = ((qb[~h], qt[~h], q_row[~h], qn), (qb[h], qt[h], q_row[h], qn), chunks, heavy, np.full(300, 0.2), 5)
+    found = []
+    for share in (0, 32):
+        sparse.DENSE_FROM = share
+        try:
+            found.append(sparse.light_best(*args))
+        finally:
+            sparse.DENSE_FROM = 32
+    for one, other in zip(*found):
+        assert np.array_equal(one, other)
+
+
+def test_long_texts_come_in_small_batches(spark):
+    """The splitter's Arrow batches hold few rows, whatever the session says."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10000")
+    CH.chunk_recursive(spark.range(3).selectExpr("id", "repeat('a b ', 500) AS text"), 512, 200, ["id"]).count()
+    assert int(spark.conf.get(key)) <= 256
