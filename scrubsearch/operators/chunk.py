@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from scrubsearch.functions import fixed
+from scrubsearch.session import small_batches
 
 
 def fixed_windows(text, size: int, overlap: int):
@@ -112,6 +113,7 @@ def _recursive_udf(size: int, overlap: int):
 
 def chunk_recursive(df: DataFrame, size: int, overlap: int, keep: list[str], text: str = "text") -> DataFrame:
     """Arrow-batched splitter, then ``posexplode`` (chunk_no from 0)."""
+    small_batches(df.sparkSession)
     fn = _recursive_udf(size, overlap)
     return (df.select(*keep, F.posexplode_outer(fn(F.col(text))).alias("chunk_no", "chunk"))
             .where(F.col("chunk").isNotNull())

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scrubsearch.operators.index import path_exists
-from scrubsearch.session import ship_package
+from scrubsearch.session import ship_package, small_batches
 from scrubsearch.sources.xlsx import ROWS, _decode
 
 LEDGER = "path string, length long, digest string, n_rows long, error string, at timestamp, run string"
@@ -49,6 +49,7 @@ def ingest(spark: SparkSession, folder: str, table: str, glob: str = "*.xlsx") -
 
     Lock files (``~$*``) are left out. An empty folder is no error."""
     ship_package(spark)
+    small_batches(spark)
     run = uuid.uuid4().hex
     known = ledger(spark, table).where("current").select("path", "length", "digest")
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
