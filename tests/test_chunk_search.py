@@ -337,3 +337,28 @@ def test_long_texts_come_in_small_batches(spark):
     spark.conf.set(key, "10000")
     CH.chunk_recursive(spark.range(3).selectExpr("id", "repeat('a b ', 500) AS text"), 512, 200, ["id"]).count()
     assert int(spark.conf.get(key)) <= 256
+
+
+def test_queries_that_differ_in_unknown_tokens_are_searched_once(spark):
+    """Tokens that no chunk holds add nothing; an id that repeats has the best of its rows."""
+    schema = "store string, {} string, buckets array<long>, tfs array<long>, norm2 long"
+    chunks = spark.createDataFrame([("s", f"c{i:02}", [1, 100 + i], [1, 1 + i % 3], 2) for i in range(40)],
+                                   schema.format("chunk_key"))
+    asked = [("s", f"q{i}", [1, 1000 + i], [1, 1], 2) for i in range(300)]
+    asked += [("s", "twice", [1, 105], [1, 2], 5), ("s", "twice", [1, 107], [1, 2], 5), ("s", "none", [7], [1], 1)]
+    queries = spark.createDataFrame(asked, schema.format("query_id"))
+    scored = spark.sparkContext.accumulator(0)
+    often, sparse.OFTEN = sparse.OFTEN, 200
+    try:
+        got = S.topk_sparse(queries, chunks, 3, scored=scored).collect()
+    finally:
+        sparse.OFTEN = often
+    assert scored.value <= 40 * 10  # 300 x 40 pairs if every query is searched
+    found = {}
+    for r in sorted(got, key=lambda r: r.rank):
+        found.setdefault(r.query_id, []).append((r.rank, r.chunk_key, round(r.score, 6)))
+    assert len(found) == 302
+    assert all(found[f"q{i}"] == [(1, "c00", 0.5), (2, "c01", 0.5), (3, "c02", 0.5)] for i in range(300))
+    assert [x[1] for x in found["none"]] == ["c00", "c01", "c02"] and found["none"][0][2] == 0
+    assert found["twice"] == [(1, "c05", round(7 / 10 ** 0.5, 6)), (2, "c07", round(5 / 10 ** 0.5, 6)),
+                              (3, "c00", round(1 / 10 ** 0.5, 6))]
