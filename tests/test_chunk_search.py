@@ -362,3 +362,27 @@ def test_queries_that_differ_in_unknown_tokens_are_searched_once(spark):
     assert [x[1] for x in found["none"]] == ["c00", "c01", "c02"] and found["none"][0][2] == 0
     assert found["twice"] == [(1, "c05", round(7 / 10 ** 0.5, 6)), (2, "c07", round(5 / 10 ** 0.5, 6)),
                               (3, "c00", round(1 / 10 ** 0.5, 6))]
+
+
+def test_embed_rows_hashes_a_token_once_a_batch(spark, monkeypatch):
+    import hashlib
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from scrubsearch.operators import embed
+
+    hashed = []
+    monkeypatch.setattr(embed, "hashlib", SimpleNamespace(md5=lambda t: hashed.append(t) or hashlib.md5(t)))
+    got = embed._vectors(pa.array([["a", "b", "a"], [], ["b"] * 3 + ["é"]])).to_pylist()
+    assert sorted(hashed) == [b"a", b"b", "é".encode()]
+    monkeypatch.undo()
+    bucket = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16)
+    want = [{"a": 2, "b": 1}, {}, {"b": 3, "é": 1}]
+    for row, counts in zip(got, want, strict=True):
+        assert list(zip(row["buckets"], row["tfs"])) == sorted((bucket(t), n) for t, n in counts.items())
+        assert row["norm2"] == sum(n * n for n in counts.values())
+    texts = ["A b a", None, "B,b b É", "", "\u6f22\u5b57a \u30fb"]
+    rows = embed.embed_rows(spark.createDataFrame(list(enumerate(texts)), "id int, text string")).orderBy("id").collect()
+    for row, counts in zip(rows, [want[0], {}, want[2], {}, {"\u6f22": 1, "\u5b57": 1, "a": 1}], strict=True):
+        assert list(zip(row["buckets"], row["tfs"])) == sorted((bucket(t), n) for t, n in counts.items())
