@@ -424,3 +424,14 @@ def test_pipeline_stages(spark, sf_small, docs, empty):
     for _, stage in corpus_pipeline.STAGES:
         stage(spark, docs, sf_small).count()
         assert stage(spark, empty, sf_small).count() == 0
+
+
+def test_language_score_lets_go_of_another_operators_model(spark):
+    import pandas as pd
+
+    from scrubsearch.llm import common
+
+    common.worker_model("another operator", build=lambda: bytearray(1 << 20))
+    model = langid.TextModel(["en", langid.UNKNOWN], np.zeros((langid.BUCKETS, 2), np.float32))
+    got = langid._score_udf(spark, model).func(pd.Series(["some text", None]))
+    assert got["n"].tolist() == [8, 0] and not common._MODEL
