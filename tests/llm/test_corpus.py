@@ -139,6 +139,42 @@ def test_pieces_match_the_library(docs, empty):
     assert sorted(r[0] for r in texts) == sorted((r["text"] or "") for r in docs.collect())
 
 
+def test_parts_of_words_are_encoded_once(monkeypatch):
+    import sentencepiece
+
+    with open(spiece.MODEL_FILE, "rb") as f:
+        model = f.read()
+    sp, pieces = sentencepiece.SentencePieceProcessor(model_proto=model), spiece.Pieces(model)
+    beside = {p[k:k + 2] for p in pieces.id for k in range(len(p) - 1)}
+    rng = random.Random(8)
+    for _ in range(300):
+        t = "".join(rng.choice("abT  \n\t.,#'’—é漢ж1▁") for _ in range(rng.randint(1, 60)))
+        parts = pieces.part.findall(" " + t.replace("▁", " "))
+        assert "".join(parts) == " " + t.replace("▁", " ")
+        assert not any((a[-1] + b[0]).replace(" ", "▁") in beside for a, b in zip(parts, parts[1:]))
+        assert spiece.encode(t, pieces).tolist() == sp.encode(t)
+    plain, calls = spiece.viterbi, []
+    monkeypatch.setattr(spiece, "viterbi", lambda *a: calls.append(a[0]) or plain(*a))
+    words = ["".join(rng.choice("qzkvw") for _ in range(9)) for _ in range(30)]
+    t = " ".join(w + "#" * n + ".\n" for w in words for n in range(20))
+    assert spiece.encode(t, pieces).tolist() == sp.encode(t)
+    assert len(calls) < 100  # not 600: a word and what follows it are known apart
+
+
+def test_neighbours_by_edges_equal_plain_merging():
+    with open(spiece.MODEL_FILE, "rb") as f:
+        pieces = spiece.Pieces(f.read())
+    rng = random.Random(2)
+    short = [i for i in pieces.id.values() if len(pieces.text[i]) < 4]
+    marks = [i for p, i in pieces.id.items() if not p.strip(spiece.SPACE)]
+    for k in range(6_000):
+        left, right = (rng.choice(marks if k % 3 == 0 else short) for _ in range(2))
+        a, b = pieces.text[left], pieces.text[right]
+        assert pieces.allowed(left, right) == (pieces.merge(b) == [b] and pieces.merge(a + b) == [a, b])
+        assert pieces.allowed(left, right) == pieces.allowed(left, right)
+        assert pieces.allowed(spiece.OTHER, right) == (pieces.merge(b) == [b])
+
+
 def brute_groups(rows, n, percent=80):
     sets = {}
     for i, t in rows:
