@@ -196,7 +196,10 @@ def detect_names(df: DataFrame, key: str, text: str, names: DataFrame) -> DataFr
     Tokens (split on white space, outer punctuation trimmed) and bigrams are
     exploded and equi-joined with the names table. The names table grows with
     the data, so no broadcast is forced; AQE broadcasts it only when its
-    runtime size is small. Pre-aggregation keeps one row per name and text.
+    runtime size is small. A frequent word that is no name sends all its rows
+    to one partition of the join; the few matches are dealt anew afterwards, so
+    that the count does not rest on the join's partitioning and AQE may split
+    such a partition. Repeated names do not matter to a semi-join.
     """
     toks = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+", -1),
                        lambda w: F.regexp_replace(w, r"^[\"'(\[]+|[\"'.,;:!?)\]]+$", ""))
@@ -205,6 +208,5 @@ def detect_names(df: DataFrame, key: str, text: str, names: DataFrame) -> DataFr
     grams = F.concat(toks, F.transform(F.filter(pairs, lambda x: x["b"].isNotNull()),
                                        lambda x: F.concat_ws(" ", x["a"], x["b"])))
     cand = df.select(key, F.explode_outer(grams).alias("name")).where(F.length("name") > 0)
-    dictionary = names.select("name").distinct()
-    return (cand.join(dictionary, "name").groupBy(key, "name")
-            .agg(F.count(F.lit(1)).alias("n")))
+    return (cand.join(names.select("name"), "name", "left_semi").repartition(F.col(key), F.col("name"))
+            .groupBy(key, "name").agg(F.count(F.lit(1)).alias("n")))

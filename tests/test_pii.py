@@ -118,6 +118,27 @@ def test_luhn_filter(spark):
     assert [(s.s, s.e, s.entity) for s in got] == [(5, 21, "CREDIT_CARD")]
 
 
+def test_frequent_words_of_names_are_split(spark):
+    from pyspark.sql import functions as F
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = spark.range(40_000, numPartitions=8).select(
+            "id", F.concat(F.lit("the "), F.when(F.col("id") % 1000 == 0, F.lit("Ann Lee")).otherwise(F.lit("the"))).alias("text"))
+        names = spark.createDataFrame([("Ann Lee",), ("Bob Ray",)], "name string")
+        got = pii.detect_names(df, "id", "text", names)
+        assert sorted(tuple(r) for r in got.collect()) == [(i, "Ann Lee", 1) for i in range(0, 40_000, 1000)]
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def test_names_dictionary(spark):
     df = _rows(spark, ["assigned to Customer#000000001, cc Ada Lovelace.", "nobody"])
     names = spark.createDataFrame([("Customer#000000001",), ("Ada Lovelace",)], "name string")
