@@ -361,6 +361,24 @@ def test_pii_kinds_do_not_depend_on_table_size(spark):
             assert pii.base_spans(value)[0][kind] == [(0, len(value))]
 
 
+def test_pii_learns_on_whole_texts_of_all_rows(spark, monkeypatch):
+    """Whatever the sizes given, however the rows lie, and copies once; what stands behind 5000 characters counts.
+
+    Added up by tasks or by the driver."""
+    rng = random.Random(13)
+    texts = [f"{'word ' * rng.choice([0, 1000])}lot {rng.randint(1000, 9999)}-{rng.randint(100, 999)}-{k} mail u{k}@x{k}.org "
+             f"call +49 30 {k}2345{k % 7} ip 10.0.{k % 200}.7 card 4111 1111 1111 1111 from 10.0.{k % 256}.{k % 300}" for k in range(400)]
+    want = pii.train(texts)
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts + texts[:50])] + [(900, None, "en", "a"), (901, "no sign", "en", "a")]
+    for df, block in ((frame(spark, rows).repartition(7), pii.BLOCK), (frame(spark, rows[::-1]).coalesce(1), 100)):
+        monkeypatch.setattr(pii, "BLOCK", block)
+        got = pii.train_on(df, rows=3, chars=40)
+        assert got.thresholds == want.thresholds and got.model.prior == want.model.prior
+        for a, b in zip(got.model.trees, want.model.trees, strict=True):
+            assert all(np.array_equal(x, y) for x, y in zip(a, b, strict=True))
+    assert len(want.model.trees) == pii.TREES
+
+
 def test_pii_spelled_addresses():
     """Every sign of the pattern is proposed, in any case, and real ones are no counter-examples."""
     for s in ("JOHN AT EXAMPLE DOT COM", "john (AT) example.com", "john at example.com", "john{At}example{DOT}com"):
