@@ -213,3 +213,20 @@ def test_names_are_hidden(spark, monkeypatch, most):
     assert [got[i].a for i in range(len(NAMED))] == HIDDEN
     assert [got[i].back for i in range(len(NAMED))] == NAMED
     assert {m.entity for m in got[0].a_mapping} == {"PERSON"}
+
+
+def test_names_shown_in_long_texts(spark):
+    """Each name once a text; 40,000 different words are no pairs to compare."""
+    import time
+
+    from scrubsearch.plans.catalog import names_shown
+
+    names = spark.createDataFrame([("Ann",), ("Ann",), ("Bob",), ("Cy",)], "name string")
+    long = " ".join(f"w{i}" for i in range(40_000))
+    rows = [(1, "Ann met Ann\nand Bob", "__PII_C0__ met Cy Cy"), (2, "nobody", "nobody"), (3, None, None), (4, f"{long} Bob", long),
+            (5, None, "Ann"), (6, "Ann Bob", None), (1, "Ann Cy", "Ann")]
+    prompts = spark.createDataFrame(rows, "query_id long, context string, prompt string")
+    began = time.time()
+    got = {tuple(r) for r in names_shown(prompts, names).collect()}
+    assert got == {(1, 4, 2), (2, 0, 0), (4, 1, 0)}
+    assert time.time() - began < 12
